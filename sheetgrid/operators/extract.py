@@ -57,14 +57,31 @@ def _keyword_test(value: Column, rule: Rule) -> Column:
     return test
 
 
-def _within(rule: Rule) -> Column:
-    return F.lit(True) if rule.max_row is None else F.col("row") < rule.max_row
+def _applies(grid: DataFrame, template: Template, rule: Rule) -> Column:
+    """The rule may look at this row: its sheet's owner and the row limit."""
+    test = F.lit(True) if rule.max_row is None else F.col("row") < rule.max_row
+    return test & (F.col("_owner") == template.name) if _is_owned(grid) else test
 
 
-def _bounded(grid: DataFrame, rules: Rules) -> DataFrame:
+def _is_owned(grid: DataFrame) -> bool:
+    """Rows carry the template that owns their file."""
+    return "template" in grid.columns
+
+
+def _of_templates(grid: DataFrame, rules: Rules) -> DataFrame:
+    """Rows of the templates with such rules; prunes a grid stored by template."""
+    if not _is_owned(grid):
+        return grid
+    return grid.where(F.col("template").isin(sorted({t.name for t, _ in rules})))
+
+
+def _visible(grid: DataFrame, rules: Rules) -> DataFrame:
     """Keep only the rows some rule may look at; reaches a Parquet scan."""
+    grid = _of_templates(grid, rules)
     bounds = [rule.max_row for _, rule in rules]
-    return grid if None in bounds else grid.where(F.col("row") < max(bounds))
+    if None not in bounds:
+        grid = grid.where(F.col("row") < max(bounds))
+    return grid.withColumnRenamed("template", "_owner")
 
 
 def _tag(template: Template, rule: Rule) -> Column:
@@ -85,12 +102,13 @@ def match_labels(grid: DataFrame, rules: Rules) -> DataFrame:
     """
     cell = F.col("_cell")
     is_text = cell["cell_type"] == STRING
-    tests = [_within(r) & _keyword_test(cell["value"], r) for _, r in rules]
+    tests = [_applies(grid, *r) & _keyword_test(cell["value"], r[1]) for r in rules]
+    owner = ["_owner"] if _is_owned(grid) else []
     first = F.greatest(F.col("_pos") + 1 - REACH, F.lit(1))
     last = F.col("_pos") + 1 + REACH
     return (
-        _bounded(grid, rules)
-        .select(*SHEET_KEYS, "row", "cells", F.posexplode("cells").alias("_pos", "_cell"))
+        _visible(grid, rules)
+        .select(*SHEET_KEYS, *owner, "row", "cells", F.posexplode("cells").alias("_pos", "_cell"))
         .where(is_text & reduce(lambda a, b: a | b, tests))
         .select(
             *SHEET_KEYS,
@@ -186,9 +204,9 @@ def find_anchors(grid: DataFrame, rules: Rules) -> DataFrame:
     def anywhere(rule: Rule) -> Column:
         return F.exists("cells", lambda c: _keyword_test(c["value"], rule))
 
-    tests = [_within(r) & anywhere(r) for _, r in rules]
+    tests = [_applies(grid, *r) & anywhere(r[1]) for r in rules]
     return (
-        _bounded(grid, rules)
+        _visible(grid, rules)
         .select(
             *SHEET_KEYS,
             "row",
@@ -289,15 +307,25 @@ def extract(
     templates: Sequence[Template],
     routes: DataFrame | None = None,
     blank: str = "skip",
+    sheets: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> Extracts:
     """Run the rules of all templates over all sheets.
 
-    With `routes` (source_file, template) a rule applies only to the files its
-    template owns; without, every rule applies to every file.
+    A rule applies only to the files its template owns if the grid has a
+    `template` column (as ingested workbooks do) or `routes` (source_file,
+    template) is given; else every rule applies to every file. `sheets` saves
+    finding the extent of the sheets from their rows.
     """
     _check_blank(blank)
-    facts, on = sheet_extent(grid), ()
+    if sheets is None:
+        widths = sheet_widths(grid)
+        facts, on = sheet_extent(grid), ()
+    else:
+        widths = sheets.where(F.col("n_rows") > 0).select(
+            *SHEET_KEYS, "n_cols", (F.col("n_rows") - 1).alias("last_row")
+        )
+        facts, on = widths.drop("n_cols"), ()
     if routes is not None:
         facts = join_salted(
             facts, routes.select("source_file", "template"), ["source_file"], F.col("sheet_name")
@@ -318,13 +346,12 @@ def extract(
         else:
             parts.append(_self_and_near(hits.where(F.col("_shape") == SELF)))
             parts.append(
-                _near_with_nan(
-                    hits.where(F.col("_shape") == NEAR), sheet_widths(grid), block_rows
-                )
+                _near_with_nan(hits.where(F.col("_shape") == NEAR), widths, block_rows)
             )
     down = rules_of_shape(templates, BELOW)
     if down:
-        parts.append(_below(grid, match_labels(grid, down), facts, on, block_rows))
+        below_grid = _of_templates(grid, down)
+        parts.append(_below(below_grid, match_labels(grid, down), facts, on, block_rows))
     spark = grid.sparkSession
     if parts:
         records = reduce(DataFrame.unionByName, parts)
@@ -337,7 +364,8 @@ def extract(
 
     anchored = rules_of_shape(templates, AFTER)
     if anchored:
-        row_maps = _after(grid, find_anchors(grid, anchored), facts, on, block_rows)
+        after_grid = _of_templates(grid, anchored)
+        row_maps = _after(after_grid, find_anchors(grid, anchored), facts, on, block_rows)
     else:
         row_maps = spark.createDataFrame(
             [],

@@ -1,0 +1,233 @@
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sheetgrid.model import GRID_SCHEMA
+from sheetgrid.operators.grid import (
+    clean_grid,
+    find_anchor,
+    keyword_census,
+    preview,
+    promote_header,
+    renumber_rows,
+    rows_as_maps,
+    sheet_dims,
+    slice_range,
+)
+from sheetgrid.operators.tables import clean_table, merge_by_name
+from sheetgrid.sources.views import (
+    cells_to_grid,
+    grid_to_cells,
+    table_to_grid,
+    text_to_grid,
+)
+
+FILE = ("f", "s")
+
+
+def cells(df):
+    return sorted((r.row, r.col, r.value) for r in grid_to_cells(df).collect())
+
+
+def fields(df):
+    return {r.row: dict(r.fields) for r in df.collect()}
+
+
+PEOPLE = {
+    0: [" Name ", "Age", "City"],
+    1: ["John", 25, "New York"],
+    2: ["Jane", 30, "Los Angeles"],
+    3: ["Bob", 35, "Chicago"],
+}
+
+
+def test_header_row_names_the_columns(grid):
+    got = fields(promote_header(grid({FILE: PEOPLE})))
+    assert got == {
+        1: {"Name": "John", "Age": "25", "City": "New York"},
+        2: {"Name": "Jane", "Age": "30", "City": "Los Angeles"},
+        3: {"Name": "Bob", "Age": "35", "City": "Chicago"},
+    }
+
+
+def test_header_compat_takes_the_next_row(grid):
+    got = fields(promote_header(grid({FILE: PEOPLE}), header_compat=True))
+    assert sorted(got) == [2, 3]
+    assert got[2] == {"John": "Jane", "25": "30", "New York": "Los Angeles"}
+
+
+@pytest.mark.parametrize("header,skip,want", [(0, [], 1), (2, [], 3), (2, [1], 4), (1, [0, 4], 3)])
+def test_header_compat_counts_after_skipping(header, skip, want):
+    from sheetgrid.operators.grid import _header_position
+
+    left = [r for r in range(10) if r not in {header, *skip}]
+    assert left[header] == want
+    assert _header_position(header, skip, True) == want
+
+
+def test_skip_rows_and_columns(grid):
+    got = promote_header(grid({FILE: PEOPLE}), skip_rows=[2], columns=["City", "Nope"])
+    assert sorted((r.row, r.City, r.Nope) for r in got.collect()) == [
+        (1, "New York", None),
+        (3, "Chicago", None),
+    ]
+
+
+def test_blank_repeated_and_missing_header_cells(grid):
+    rows = {0: ["a", None, "a", " ", "a.1"], 1: [1, 2, 3, 4, 5, 6]}
+    assert fields(promote_header(grid({FILE: rows})))[1] == {
+        "a": "1",
+        "Unnamed: 1": "2",
+        "a.1": "3",
+        "Unnamed: 3": "4",
+        "a.1.1": "5",
+        "Unnamed: 5": "6",
+    }
+
+
+def test_sheet_without_a_header_row(grid):
+    assert fields(promote_header(grid({FILE: {2: ["x", "y"]}}))) == {
+        2: {"Unnamed: 0": "x", "Unnamed: 1": "y"}
+    }
+
+
+def test_promote_header_over_blocks(grid):
+    rows = {0: ["k"], **{r: [r] for r in range(1, 30)}}
+    got = fields(promote_header(grid({FILE: rows, ("g", "s"): PEOPLE}), block_rows=4).where("source_file = 'f'"))
+    assert got == {r: {"k": str(r)} for r in range(1, 30)}
+
+
+def test_slice_is_inclusive_and_keeps_positions(grid):
+    g = grid({FILE: {r: [f"{r}{c}" for c in range(4)] for r in range(5)}})
+    assert cells(slice_range(g, 1, 2, 1, 2)) == [
+        (1, 1, "11"),
+        (1, 2, "12"),
+        (2, 1, "21"),
+        (2, 2, "22"),
+    ]
+    assert len(cells(slice_range(g, 3))) == 8
+    assert len(cells(slice_range(g, 0, start_col=3))) == 5
+
+
+def test_anchor_is_an_absolute_row(grid):
+    g = grid({FILE: {0: ["x"], 3: ["Part Number"], 4: ["part number"]}, ("f", "t"): {25: ["part number"]}})
+    assert [(r.sheet_name, r.anchor_row) for r in find_anchor(g, ["PART NUMBER"]).collect()] == [("s", 3)]
+
+
+def test_renumber_and_clean(grid):
+    rows = {r: [r] for r in random.Random(1).sample(range(1000), 50)}
+    g = grid({FILE: rows, ("f", "t"): {7: ["a"]}})
+    got = renumber_rows(g, block_rows=10)
+    want = [(i, 0, str(r)) for i, r in enumerate(sorted(rows))]
+    assert cells(got.where("sheet_name = 's'")) == want
+    assert cells(got.where("sheet_name = 't'")) == [(0, 0, "a")]
+    assert cells(clean_grid(g, block_rows=10)) == cells(got)
+    assert cells(clean_grid(g, remove_empty_rows=False)) == cells(g)
+
+
+def test_preview_shows_empty_cells_and_rows(grid):
+    rows = {0: ["x" * 30, None, "b"], 2: [None] * 11 + ["far"], 7: ["below"]}
+    got = {r.row: r.preview for r in preview(grid({FILE: rows})).collect()}
+    assert got[0] == ["x" * 20, "", "b"] + [""] * 7
+    assert got[1] == [""] * 10 and got[2] == [""] * 10
+    assert sorted(got) == [0, 1, 2, 3, 4]
+
+
+def test_dims(spark, grid):
+    g = grid({FILE: {3: [None, "a"], 1: ["b", None, "c"]}})
+    assert [tuple(r) for r in sheet_dims(g).collect()] == [("f", "s", 4, 3, "4x3")]
+    sheets = spark.createDataFrame(
+        [("f", 0, "s", 4, 3), ("f", 1, "empty", 0, 0)],
+        "source_file string, sheet_index int, sheet_name string, n_rows long, n_cols int",
+    )
+    got = {r.sheet_name: r.dimensions for r in sheet_dims(g, sheets).collect()}
+    assert got == {"s": "4x3", "empty": "0x0"}
+
+
+def test_census_is_distinct_text_of_the_top_rows(grid):
+    rows = {0: ["Precio total", "Total", 5], 1: ["Total"], 9: ["ITEM"], 10: ["Costo"]}
+    assert sorted(r.value for r in keyword_census(grid({FILE: rows})).collect()) == [
+        "ITEM",
+        "Precio total",
+        "Total",
+    ]
+
+
+def test_rows_as_maps_drop_blank_rows(grid):
+    got = rows_as_maps(grid({FILE: {0: [" "], 1: [" ", "a"]}})).collect()
+    assert [(r.row, dict(r.cells)) for r in got] == [(1, {"col_1": "a"})]
+
+
+def test_text_view(spark):
+    df = spark.createDataFrame([(1, "a  b\n\n c")], "id int, text string")
+    assert cells(text_to_grid(df, "text", "id", F.lit("s"))) == [(0, 0, "a"), (0, 2, "b"), (2, 1, "c")]
+    df = spark.createDataFrame([(1, "a|b\tc|d")], "id int, text string")
+    assert cells(text_to_grid(df, "text", "id", F.lit("s"), "\t", "|")) == [
+        (0, 0, "a"),
+        (0, 1, "b"),
+        (1, 0, "c"),
+        (1, 1, "d"),
+    ]
+
+
+def test_table_view_types_and_text(spark):
+    df = spark.sql(
+        "SELECT 4 AS k, 'x' AS s, 5.0D AS whole, 1e10D AS big, 0.25D AS part, true AS yes,"
+        " timestamp'2024-01-05 10:00:00' AS ts, cast(null AS int) AS none, double('NaN') AS nan"
+    )
+    got = grid_to_cells(table_to_grid(df, F.lit("f"), F.lit("s"), "k")).collect()
+    assert [(r.col, r.cell_type, r.value) for r in got] == [
+        (0, "number", "4"),
+        (1, "string", "x"),
+        (2, "number", "5"),
+        (3, "number", "10000000000"),
+        (4, "number", "0.25"),
+        (5, "boolean", "True"),
+        (6, "datetime", "2024-01-05 10:00:00"),
+    ]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.dictionaries(
+        st.tuples(st.integers(0, 6), st.integers(0, 6)),
+        st.text(alphabet="ab é ", min_size=1, max_size=3),
+        min_size=1,
+        max_size=12,
+    )
+)
+def test_cells_to_rows_and_back_is_identity(spark, values):
+    flat = [("f", "s", r, c, "string", v) for (r, c), v in values.items()]
+    df = spark.createDataFrame(
+        flat, "source_file string, sheet_name string, row long, col int, cell_type string, value string"
+    )
+    grid = cells_to_grid(df)
+    assert grid.schema.names == GRID_SCHEMA.names
+    assert cells(grid) == sorted((r, c, v) for (r, c), v in values.items())
+
+
+def test_clean_table(spark):
+    df = spark.createDataFrame(
+        [(1, None, float("nan"), None), (2, "a", None, None), (3, None, None, None)],
+        "k int, a string, b double, c string",
+    )
+    got = clean_table(df, keep=["k"])
+    assert got.columns == ["k", "a"] and [tuple(r) for r in got.collect()] == [(2, "a")]
+    assert clean_table(df, remove_empty_rows=False, keep=["k"]).count() == 3
+    assert clean_table(df, remove_empty_cols=False).columns == df.columns
+
+
+def test_merge_by_name_widens_and_falls_back_to_text(spark):
+    a = spark.sql("SELECT 1 AS n, 'x' AS s, 5 AS mixed")
+    b = spark.sql("SELECT 2L AS n, true AS only_b, 'five' AS mixed")
+    got = merge_by_name([a, b])
+    assert got.dtypes == [
+        ("n", "bigint"),
+        ("s", "string"),
+        ("mixed", "string"),
+        ("only_b", "boolean"),
+    ]
+    assert sorted(map(tuple, got.collect())) == [(1, "x", "5", None), (2, None, "five", True)]

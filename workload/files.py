@@ -42,7 +42,8 @@ def merge_parquet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, [f"{sf_dir}/nation.parquet", f"{sf_dir}/region.parquet"], f"{path}/places"
     )
     merge_parquet(spark, [f"{path}/places", f"{sf_dir}/labels.parquet"], f"{path}/all")
-    return spark.read.parquet(f"{path}/all")
+    merged = spark.read.parquet(f"{path}/all")
+    return merged.select(*[F.col(c).cast("string").alias(c) for c in merged.columns])
 
 
 def compact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,11 +208,12 @@ ORACLES = {
     "parquet_roundtrip": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate,"
     " o_orderpriority FROM orders",
     "merge_parquet": """
-    SELECT n_nationkey, n_name, n_regionkey, cast(NULL AS integer) AS r_regionkey,
-      cast(NULL AS varchar) AS r_name, cast(NULL AS bigint) AS doc_id,
-      cast(NULL AS integer) AS quality, cast(NULL AS integer) AS toxic FROM nation
-    UNION ALL SELECT NULL, NULL, NULL, r_regionkey, r_name, NULL, NULL, NULL FROM region
-    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, doc_id, quality, toxic FROM labels""",
+    SELECT cast(n_nationkey AS varchar) AS n_nationkey, n_name,
+      cast(n_regionkey AS varchar) AS n_regionkey, cast(r_regionkey AS varchar) AS r_regionkey,
+      r_name, cast(doc_id AS varchar) AS doc_id, cast(quality AS varchar) AS quality,
+      cast(toxic AS varchar) AS toxic
+    FROM (SELECT * FROM nation UNION ALL BY NAME SELECT * FROM region
+          UNION ALL BY NAME SELECT * FROM labels)""",
     "compact_counts": "SELECT count(*) AS num_rows, 11 AS num_columns,"
     " true AS row_groups_bounded FROM lineitem",
     "footer_inventory": "\nUNION ALL ".join(

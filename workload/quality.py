@@ -210,7 +210,9 @@ def merge_by_name_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_nationkey").cast("long").alias("nation"),
         (F.col("s_acctbal") > 0).alias("solvent"),
     )
-    return merge_by_name([customers, suppliers])
+    return merge_by_name([customers, suppliers]).withColumn(
+        "solvent", F.col("solvent").cast("string")
+    )
 
 
 # What the name rules mean, on a text expression without outer blanks.
@@ -417,6 +419,7 @@ ORACLES = {
     FROM events""",
     "merge_by_name": """SELECT c_custkey AS "key", c_name AS name,
       cast(c_nationkey AS bigint) AS nation, c_mktsegment AS segment,
-      cast(NULL AS boolean) AS solvent FROM customer
-    UNION ALL SELECT s_suppkey, s_name, s_nationkey, NULL, s_acctbal > 0 FROM supplier""",
+      cast(NULL AS varchar) AS solvent FROM customer
+    UNION ALL SELECT s_suppkey, s_name, s_nationkey, NULL, cast(s_acctbal > 0 AS varchar)
+      FROM supplier""",
 }
