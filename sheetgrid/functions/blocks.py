@@ -17,7 +17,7 @@ BLOCK = "_block"
 
 
 def block_of(row: Column, block_rows: int = BLOCK_ROWS) -> Column:
-    return F.floor(row / F.lit(block_rows)).cast("long")
+    return F.call_function("div", row, F.lit(block_rows)).cast("long")
 
 
 def sheet_extent(grid: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def join_sheet_facts(
 
 
 def join_salted(
-    rows: DataFrame, facts: DataFrame, on: list[str], salt: Column, salts: int = 16
+    rows: DataFrame, facts: DataFrame, on: list[str], salt: Column, salts: int = 8
 ) -> DataFrame:
     """Inner-join on `on`, cutting each key into `salts` parts by the hash of `salt`.
 

@@ -49,8 +49,7 @@ class Extracts(NamedTuple):
     row_maps: DataFrame  # ROW_MAP columns, from AFTER rules
 
 
-def _keyword_test(value: Column, rule: Rule) -> Column:
-    upper = F.upper(value)
+def _keyword_test(upper: Column, rule: Rule) -> Column:
     test = contains_any(upper, [k.upper() for k in rule.keywords])
     if rule.exclude:
         test = test & ~contains_any(upper, [k.upper() for k in rule.exclude])
@@ -84,12 +83,40 @@ def _visible(grid: DataFrame, rules: Rules) -> DataFrame:
     return grid.withColumnRenamed("template", "_owner")
 
 
-def _tag(template: Template, rule: Rule) -> Column:
-    return F.struct(
-        F.lit(template.name).alias("template"),
-        F.lit(rule.data_type).alias("data_type"),
-        F.lit(rule.shape).alias("_shape"),
-        F.lit(rule.label).cast("string").alias("_label"),
+def _row_may_match(rules: Rules) -> Column:
+    """Some keyword occurs in the text of the row, all cells taken together.
+
+    One upper-casing and one search per row and keyword dismiss rows without a
+    label before their cells are looked at. The array of one element binds the
+    upper-cased text, so that it is computed once for all keywords.
+    """
+    words = sorted({k.upper() for _, rule in rules for k in rule.keywords})
+    text = F.upper(F.array_join(F.col("cells.value"), "\n"))
+    return F.exists(F.array(text), lambda t: contains_any(t, words))
+
+
+def _tagged(hits: DataFrame, tests: list[Column], rules: Rules) -> DataFrame:
+    """One record per hit and rule it passes, with the rule's constants."""
+    constants = F.array(
+        *[
+            F.struct(
+                F.lit(template.name).alias("template"),
+                F.lit(rule.data_type).alias("data_type"),
+                F.lit(rule.shape).alias("_shape"),
+                F.lit(rule.label).cast("string").alias("_label"),
+            )
+            for template, rule in rules
+        ]
+    )
+    passes = F.lit(False)
+    for i, test in enumerate(tests):
+        passes = F.when(F.col("_rule") == i, test).otherwise(passes)
+    return (
+        hits.withColumn("_rule", F.explode(F.array(*[F.lit(i) for i in range(len(rules))])))
+        .where(passes)
+        .withColumn("_tag", F.get(constants, F.col("_rule")))
+        .select("*", "_tag.*")
+        .drop("_rule", "_tag")
     )
 
 
@@ -101,30 +128,32 @@ def match_labels(grid: DataFrame, rules: Rules) -> DataFrame:
     REACH array positions, and rows of any width cost the same per label.
     """
     cell = F.col("_cell")
-    is_text = cell["cell_type"] == STRING
-    tests = [_applies(grid, *r) & _keyword_test(cell["value"], r[1]) for r in rules]
+    tests = [_applies(grid, *r) & _keyword_test(F.col("_upper"), r[1]) for r in rules]
     owner = ["_owner"] if _is_owned(grid) else []
     first = F.greatest(F.col("_pos") + 1 - REACH, F.lit(1))
     last = F.col("_pos") + 1 + REACH
-    return (
+    hits = (
         _visible(grid, rules)
+        .where(_row_may_match(rules))
         .select(*SHEET_KEYS, *owner, "row", "cells", F.posexplode("cells").alias("_pos", "_cell"))
-        .where(is_text & reduce(lambda a, b: a | b, tests))
+        .where(cell["cell_type"] == STRING)
+        # Generated, so that all keyword tests share one upper-casing.
+        .withColumn("_upper", F.explode(F.array(F.upper(cell["value"]))))
+        .where(reduce(lambda a, b: a | b, tests))
         .select(
             *SHEET_KEYS,
+            *owner,
             "row",
+            "_upper",
             cell["col"].alias("col"),
-            cell["value"].alias("_text"),
             cell.alias("_cell"),
             F.slice("cells", first, last - first + 1).alias("_reach"),
-            F.inline(
-                F.array_compact(
-                    F.array(*[F.when(t, _tag(*r)) for t, r in zip(tests, rules)])
-                )
-            ),
         )
-        .withColumn("label", F.coalesce("_label", "_text"))
-        .drop("_label", "_text")
+    )
+    return (
+        _tagged(hits, tests, rules)
+        .withColumn("label", F.coalesce(F.col("_label"), cell["value"]))
+        .drop("_label", "_upper", *owner)
     )
 
 
@@ -202,20 +231,22 @@ def find_anchors(grid: DataFrame, rules: Rules) -> DataFrame:
     """First row per sheet and rule with a cell (of any type) holding a keyword."""
 
     def anywhere(rule: Rule) -> Column:
-        return F.exists("cells", lambda c: _keyword_test(c["value"], rule))
+        return F.exists("_uppers", lambda u: _keyword_test(u, rule))
 
     tests = [_applies(grid, *r) & anywhere(r[1]) for r in rules]
-    return (
+    owner = ["_owner"] if _is_owned(grid) else []
+    rows = (
         _visible(grid, rules)
+        .where(_row_may_match(rules))
         .select(
             *SHEET_KEYS,
+            *owner,
             "row",
-            F.inline(
-                F.array_compact(
-                    F.array(*[F.when(t, _tag(*r)) for t, r in zip(tests, rules)])
-                )
-            ),
+            F.explode(F.array(F.transform(F.col("cells.value"), F.upper))).alias("_uppers"),
         )
+    )
+    return (
+        _tagged(rows, tests, rules)
         .groupBy(*SHEET_KEYS, *TAGS)
         .agg(F.min("row").alias("anchor_row"))
     )

@@ -46,10 +46,13 @@ def text_to_grid(
             i.cast("int").alias("col"), F.lit(STRING).alias("cell_type"), v.alias("value")
         ),
     )
+    filled = F.filter(tokens, lambda c: c["value"] != "")
+    # A generated column is computed once; a plain expression would be repeated
+    # in every filter on `cells` that the optimizer moves below this projection.
     return lines.select(
         *SHEET_KEYS,
         F.col("row").cast("long").alias("row"),
-        F.filter(tokens, lambda c: c["value"] != "").alias("cells"),
+        F.explode(F.array(filled)).alias("cells"),
     )
 
 

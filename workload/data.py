@@ -43,6 +43,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sheetgrid/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back: computed once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def document_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a sheet: line = row, word = column."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
@@ -250,7 +257,7 @@ def form_grid(spark: SparkSession, sf_dir: str, form: Form) -> DataFrame:
     grid = None
     for part in form.parts:
         names = [n for n in TABLES if "{" + n + "}" in part.source]
-        source = spark.sql(part.source, **{n: table(spark, sf_dir, n) for n in names})
+        source = spark.sql(part.source, **{n: spread(table(spark, sf_dir, n)) for n in names})
         rows = F.array(
             *[
                 F.struct(

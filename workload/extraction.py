@@ -32,6 +32,7 @@ from workload.data import (
     document_grid,
     form_cells_sql,
     form_grid,
+    stored,
     table,
 )
 
@@ -143,13 +144,13 @@ def route_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routed_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All forms in one grid; each file gives only its own template's records."""
-    grid = all_forms(spark, sf_dir)
+    grid = stored(all_forms(spark, sf_dir))
     routes = route_templates(grid.select(*SHEET_KEYS).distinct(), BUILT_IN)
     return ex.extract(grid, BUILT_IN, routes).records
 
 
 def routed_row_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = all_forms(spark, sf_dir)
+    grid = stored(all_forms(spark, sf_dir))
     routes = route_templates(grid.select(*SHEET_KEYS).distinct(), BUILT_IN)
     return _entries(ex.extract(grid, BUILT_IN, routes).row_maps, "template", "data_type")
 
