@@ -21,6 +21,7 @@ from sheetgrid.functions.blocks import (
     per_block,
     sheet_extent,
 )
+from sheetgrid.functions.plans import computed_once, pin_cells
 from sheetgrid.functions.text import contains_any, is_not_blank
 from sheetgrid.model import BLOCK_ROWS, BOOLEAN, NUMBER, SHEET_KEYS, STRING
 from sheetgrid.operators.grid import row_as_map
@@ -133,12 +134,11 @@ def match_labels(grid: DataFrame, rules: Rules) -> DataFrame:
     first = F.greatest(F.col("_pos") + 1 - REACH, F.lit(1))
     last = F.col("_pos") + 1 + REACH
     hits = (
-        _visible(grid, rules)
+        pin_cells(_visible(grid, rules))
         .where(_row_may_match(rules))
         .select(*SHEET_KEYS, *owner, "row", "cells", F.posexplode("cells").alias("_pos", "_cell"))
         .where(cell["cell_type"] == STRING)
-        # Generated, so that all keyword tests share one upper-casing.
-        .withColumn("_upper", F.explode(F.array(F.upper(cell["value"]))))
+        .withColumn("_upper", computed_once(F.upper(cell["value"])))
         .where(reduce(lambda a, b: a | b, tests))
         .select(
             *SHEET_KEYS,
@@ -216,7 +216,8 @@ def _below(
         block_rows,
     ).select(*SHEET_KEYS, BLOCK, "col", F.col("row").alias("_label_row"), *TAGS, "label")
     values = (
-        grid.select(*SHEET_KEYS, "row", F.inline("cells"))
+        pin_cells(grid)
+        .select(*SHEET_KEYS, "row", F.inline("cells"))
         .where(is_not_blank(F.col("value")))
         .select(*SHEET_KEYS, block_of(F.col("row"), block_rows).alias(BLOCK), "row", "col", "value")
     )
@@ -236,13 +237,13 @@ def find_anchors(grid: DataFrame, rules: Rules) -> DataFrame:
     tests = [_applies(grid, *r) & anywhere(r[1]) for r in rules]
     owner = ["_owner"] if _is_owned(grid) else []
     rows = (
-        _visible(grid, rules)
+        pin_cells(_visible(grid, rules))
         .where(_row_may_match(rules))
         .select(
             *SHEET_KEYS,
             *owner,
             "row",
-            F.explode(F.array(F.transform(F.col("cells.value"), F.upper))).alias("_uppers"),
+            computed_once(F.transform(F.col("cells.value"), F.upper)).alias("_uppers"),
         )
     )
     return (
@@ -265,7 +266,7 @@ def _after(
         *SHEET_KEYS,
         block_of(F.col("row"), block_rows).alias(BLOCK),
         "row",
-        row_as_map("cells").alias("cells"),
+        computed_once(row_as_map("cells")).alias("cells"),
     ).where(F.size("cells") > 0)
     return (
         rows.join(reach, [*SHEET_KEYS, BLOCK])

@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetgrid.functions.blocks import BLOCK, block_of, join_sheet_facts, sheet_extent
-from sheetgrid.functions.text import contains_any, has_keyword, is_not_blank, strip
+from sheetgrid.functions.plans import computed_once, pin_cells
+from sheetgrid.functions.text import (
+    contains_any,
+    has_keyword,
+    is_not_blank,
+    strip,
+)
 from sheetgrid.model import BLOCK_ROWS, SHEET_KEYS, STRING
 from sheetgrid.plans.rules import CENSUS_KEYWORDS
 
@@ -25,9 +31,9 @@ def row_as_map(cells: str) -> Column:
 
 def rows_as_maps(grid: DataFrame) -> DataFrame:
     """Every row as a sparse record. Rows with only blank text are left out."""
-    return grid.select(*SHEET_KEYS, "row", row_as_map("cells").alias("cells")).where(
-        F.size("cells") > 0
-    )
+    return grid.select(
+        *SHEET_KEYS, "row", computed_once(row_as_map("cells")).alias("cells")
+    ).where(F.size("cells") > 0)
 
 
 def slice_range(
@@ -47,7 +53,8 @@ def slice_range(
             test = c["col"] >= start_col
             return test if end_col is None else test & (c["col"] <= end_col)
 
-        rows = rows.withColumn("cells", F.filter("cells", inside)).where(F.size("cells") > 0)
+        inner = computed_once(F.filter("cells", inside))
+        rows = rows.withColumn("cells", inner).where(F.size("cells") > 0)
     return rows
 
 
@@ -160,7 +167,9 @@ def promote_header(
         return F.struct(name, c["value"])
 
     table = join_sheet_facts(data, facts, block_rows=block_rows).select(
-        *SHEET_KEYS, "row", F.map_from_entries(F.transform("cells", entry)).alias("fields")
+        *SHEET_KEYS,
+        "row",
+        computed_once(F.map_from_entries(F.transform("cells", entry))).alias("fields"),
     )
     if columns is None:
         return table
@@ -168,7 +177,7 @@ def promote_header(
 
 
 def renumber_rows(grid: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number the rows of each sheet 0, 1, 2, ... without gaps.
+    """Number the rows of each sheet 0, 1, 2, ... without gaps; other columns stay.
 
     Rows are counted per block first; a block's rows are then numbered on from
     the total of the blocks before it, so no window spans a whole sheet's rows.
@@ -181,6 +190,7 @@ def renumber_rows(grid: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .orderBy(BLOCK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    others = [c for c in grid.columns if c not in (*SHEET_KEYS, "row")]
     offsets = counts.select(
         *SHEET_KEYS, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
@@ -192,7 +202,7 @@ def renumber_rows(grid: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .select(
             *SHEET_KEYS,
             (F.col("_offset") + F.col("_rank") - 1).cast("long").alias("row"),
-            "cells",
+            *others,
         )
     )
 
@@ -241,7 +251,7 @@ def keyword_census(
 ) -> DataFrame:
     """Distinct text cells of the top rows that hold one of the keywords."""
     return (
-        grid.where(F.col("row") < max_rows)
+        pin_cells(grid.where(F.col("row") < max_rows))
         .select(*SHEET_KEYS, F.inline("cells"))
         .where(
             (F.col("cell_type") == STRING)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetgrid.functions.text import is_datetime_text, is_numeric_text
+from sheetgrid.functions.blocks import sheet_extent
+from sheetgrid.functions.plans import pin_cells
+from sheetgrid.functions.text import is_datetime_text, is_numeric_text, strip
 from sheetgrid.model import BOOLEAN, DATETIME, NUMBER, SHEET_KEYS
 from sheetgrid.plans.rules import Schema
 
@@ -155,7 +157,8 @@ def detect_cell_types(grid: DataFrame) -> DataFrame:
     number = (kind == NUMBER) | (kind == BOOLEAN) | is_numeric_text(value)
     date = (kind == DATETIME) | is_datetime_text(value)
     return (
-        grid.select(*SHEET_KEYS, F.inline("cells"))
+        pin_cells(grid)
+        .select(*SHEET_KEYS, F.inline("cells"))
         .groupBy(*SHEET_KEYS, "col")
         .agg(
             F.when(F.bool_and(kind == BOOLEAN), BOOL)
@@ -383,24 +386,19 @@ def validate(
     return found.unionByName(empty)
 
 
-def missing_columns(grid_headers: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Required names absent from each sheet's header.
+def missing_columns(grid: DataFrame, required: Sequence[str], header_row: int = 0) -> DataFrame:
+    """Required names that a sheet's header row does not hold, one record each.
 
-    `grid_headers` holds (source_file, sheet_name, name), one record per header
-    cell. Names are flagged by aggregates, so no name list is gathered.
+    The difference is taken within the header row; a sheet without one misses
+    every name.
     """
-    flags = grid_headers.groupBy(*SHEET_KEYS).agg(
-        *[
-            F.bool_or(F.col("name") == name).alias(f"_has_{i}")
-            for i, name in enumerate(required)
-        ]
+    wanted = F.array(*[F.lit(name) for name in required])
+    present = F.transform(F.col("cells.value"), strip)
+    headers = grid.where(F.col("row") == header_row).select(
+        *SHEET_KEYS, F.array_except(wanted, present).alias("_missing")
     )
-    absent = F.array_compact(
-        F.array(
-            *[
-                F.when(~F.coalesce(F.col(f"_has_{i}"), F.lit(False)), F.lit(name))
-                for i, name in enumerate(required)
-            ]
-        )
+    return (
+        sheet_extent(grid)
+        .join(headers, SHEET_KEYS, "left")
+        .select(*SHEET_KEYS, F.explode(F.coalesce("_missing", wanted)).alias("missing"))
     )
-    return flags.select(*SHEET_KEYS, F.explode(absent).alias("missing"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheetgrid.functions.plans import pin_cells
 from sheetgrid.model import (
     BOOLEAN,
     CELL,
@@ -47,12 +48,10 @@ def text_to_grid(
         ),
     )
     filled = F.filter(tokens, lambda c: c["value"] != "")
-    # A generated column is computed once; a plain expression would be repeated
-    # in every filter on `cells` that the optimizer moves below this projection.
     return lines.select(
         *SHEET_KEYS,
         F.col("row").cast("long").alias("row"),
-        F.explode(F.array(filled)).alias("cells"),
+        filled.alias("cells"),
     )
 
 
@@ -123,7 +122,7 @@ def table_to_grid(
 
 def grid_to_cells(grid: DataFrame) -> DataFrame:
     """One record per non-empty cell. Narrow."""
-    return grid.select(*SHEET_KEYS, "row", F.inline("cells"))
+    return pin_cells(grid).select(*SHEET_KEYS, "row", F.inline("cells"))
 
 
 def cells_to_grid(cells: DataFrame) -> DataFrame:

@@ -157,13 +157,17 @@ def test_duplicates_count_nulls_as_equal(spark):
     assert [tuple(r) for r in duplicated_columns(df, ["a", "b"]).collect()] == [("a", 2)]
 
 
-def test_missing_columns_per_sheet(spark):
-    headers = spark.createDataFrame(
-        [("f", "s", "a"), ("f", "s", "b"), ("f", "t", "a")],
-        "source_file string, sheet_name string, name string",
+def test_missing_columns_per_sheet(grid):
+    g = grid(
+        {
+            ("f", "s"): {0: [" a ", "b"], 1: ["c"]},
+            ("f", "t"): {0: ["a"]},
+            ("f", "u"): {3: ["a"]},
+        }
     )
-    got = sorted(map(tuple, missing_columns(headers, ["a", "b", "c"]).collect()))
-    assert got == [("f", "s", "c"), ("f", "t", "b"), ("f", "t", "c")]
+    got = sorted(map(tuple, missing_columns(g, ["a", "b", "c"]).collect()))
+    want = [("f", "s", "c"), ("f", "t", "b"), ("f", "t", "c")]
+    assert got == want + [("f", "u", c) for c in "abc"]
 
 
 def routes(spark, sheets, **options):

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetgrid.functions.text import clean_column_name, clean_table_name
-from sheetgrid.model import SHEET_KEYS
 from sheetgrid.operators.quality import (
     check_schema,
     detect_cell_types,
@@ -121,11 +120,7 @@ def constraint_unique_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document's first line should hold but does not."""
-    headers = (
-        grid_to_cells(document_grid(spark, sf_dir).where(F.col("row") == 0))
-        .select(*SHEET_KEYS, F.lower("value").alias("name"))
-    )
-    return missing_columns(headers, ["the", "de", "der"])
+    return missing_columns(document_grid(spark, sf_dir), ["The", "de", "der"])
 
 
 ORDER_SCHEMA = Schema(
@@ -381,9 +376,10 @@ ORACLES = {
     ),
     "required_columns": f"WITH {DOCUMENT_CELLS}\n"
     + "\nUNION ALL ".join(
-        f"""SELECT source_file, sheet_name, '{w}' AS missing FROM g WHERE "row" = 0
-        GROUP BY source_file, sheet_name HAVING NOT bool_or(lower(value) = '{w}')"""
-        for w in ("the", "de", "der")
+        f"""SELECT source_file, sheet_name, '{w}' AS missing FROM g
+        GROUP BY source_file, sheet_name
+        HAVING NOT bool_or("row" = 0 AND trim(value) = '{w}')"""
+        for w in ("The", "de", "der")
     ),
     "validation_report": """
     SELECT o_orderstatus AS dataset, 'o_clerk' AS "column", 'required' AS rule,
