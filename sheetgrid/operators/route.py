@@ -2,58 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetgrid.functions.text import has_keyword
-from sheetgrid.plans.rules import BUILT_IN, Template
+from sheetgrid.plans.rules import BUILT_IN, WORKBOOK_EXTENSIONS, Template
 
-# Extensions of the files a template for any workbook takes.
-WORKBOOK_EXTENSIONS = (".xlsx", ".xls")
 
-
-def _priority(
-    path: Column, templates: Sequence[Template], sheets_have: Callable[[tuple[str, ...]], Column]
-) -> Column:
-    """Index of the first template that owns a file; null for none."""
-    tests = []
-    for template in templates:
-        test = F.lit(False)
-        if template.path_keywords:
-            test = test | has_keyword(path, template.path_keywords)
-        if template.sheet_keywords:
-            test = test | F.coalesce(sheets_have(template.sheet_keywords), F.lit(False))
-        if template.any_file:
-            for extension in WORKBOOK_EXTENSIONS:
-                test = test | F.lower(path).endswith(extension)
-        tests.append(test)
-    return F.coalesce(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)])
-
-
-def _path(file: Column, match: str) -> Column:
-    if match not in ("name", "path"):
-        raise ValueError(f"match must be 'name' or 'path', not {match!r}")
-    return file if match == "path" else F.substring_index(file, "/", -1)
-
-
-def _name(templates: Sequence[Template], priority: Column) -> Column:
-    return F.get(F.array(*[F.lit(t.name) for t in templates]), priority)
-
-
-def owner(
-    source_file: Column,
-    sheet_names: Column,
-    templates: Sequence[Template] = BUILT_IN,
-    match: str = "name",
-) -> Column:
-    """Owning template of a file whose sheet names are at hand as an array. Narrow."""
-
-    def sheets_have(keywords: tuple[str, ...]) -> Column:
-        return F.exists(sheet_names, lambda n: has_keyword(n, keywords))
-
-    return _name(templates, _priority(_path(source_file, match), templates, sheets_have))
+def _owns(template: Template, path: Column, sheet: Column) -> Column:
+    """The same test as `Template.owns`, for one sheet of the file."""
+    test = F.lit(False)
+    if template.path_keywords:
+        test = test | has_keyword(path, template.path_keywords)
+    if template.sheet_keywords:
+        test = test | F.coalesce(has_keyword(sheet, template.sheet_keywords), F.lit(False))
+    if template.any_file:
+        for extension in WORKBOOK_EXTENSIONS:
+            test = test | F.upper(path).endswith(extension)
+    return test
 
 
 def route_templates(
@@ -67,13 +35,19 @@ def route_templates(
     of its keywords. match="name" tests the file name only; match="path" the
     whole path with its folders. Files no template owns get null.
     """
-
-    def sheets_have(keywords: tuple[str, ...]) -> Column:
-        return has_keyword(F.col("sheet_name"), keywords)
-
-    priority = _priority(_path(F.col("source_file"), match), templates, sheets_have)
+    if match not in ("name", "path"):
+        raise ValueError(f"match must be 'name' or 'path', not {match!r}")
+    file = F.col("source_file")
+    path = file if match == "path" else F.substring_index(file, "/", -1)
+    priority = F.coalesce(
+        *[
+            F.when(_owns(t, path, F.col("sheet_name")), F.lit(i))
+            for i, t in enumerate(templates)
+        ]
+    )
+    names = F.array(*[F.lit(t.name) for t in templates])
     return (
         sheets.groupBy("source_file")
         .agg(F.min(priority).alias("_priority"))
-        .select("source_file", _name(templates, F.col("_priority")).alias("template"))
+        .select("source_file", F.get(names, F.col("_priority")).alias("template"))
     )

@@ -8,6 +8,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
+# Extensions, in upper case, of the files a template for any workbook takes.
+WORKBOOK_EXTENSIONS = (".XLSX", ".XLS")
+
 SELF, NEAR, BELOW, AFTER = "self", "near", "below", "after"
 
 # Depth of the search for a label or anchor, in rows from the top of the sheet.
@@ -58,6 +61,15 @@ class Template:
     any_file: bool = False
     schema: Schema = Schema()
 
+    def owns(self, path: str, sheet_names: Sequence[str]) -> bool:
+        """The path, or a sheet name, holds a keyword; one file at a time."""
+        path = path.upper()
+        if self.any_file and path.endswith(WORKBOOK_EXTENSIONS):
+            return True
+        return any(k.upper() in path for k in self.path_keywords) or any(
+            k.upper() in name.upper() for k in self.sheet_keywords for name in sheet_names
+        )
+
 
 # Keywords, field names and row limits below are fixed values.
 SDM = Template(
@@ -197,6 +209,14 @@ def only(template: Template, data_types: Iterable[str]) -> Template:
     )
 
 
+def owner(
+    path: str, sheet_names: Sequence[str], templates: Sequence[Template], match: str = "name"
+) -> str | None:
+    """Name of the first template, in order, that owns a file; None for none."""
+    tested = path if match == "path" else path.rpartition("/")[2]
+    return next((t.name for t in templates if t.owns(tested, sheet_names)), None)
+
+
 def rules_of_shape(
     templates: Sequence[Template], *shapes: str
 ) -> list[tuple[Template, Rule]]:

@@ -206,6 +206,16 @@ def test_every_routing_keyword(spark):
     assert list(dict(sorted(got.items())).values()) == list(sheets.values())
 
 
+def test_both_forms_of_routing_agree(spark):
+    from sheetgrid.plans.rules import BUILT_IN, owner
+
+    sheets = [("a/sdm.xlsx", "x"), ("sdm/b.xlsx", "BOM 1"), ("c.xls", "Cotización"), ("d.txt", "z"),
+              ("bom/e.xlsx", "q"), ("f.XLSX", "ventas"), ("g.csv", "Materiales"), ("ß.xlsx", "ß")]
+    for match in ("name", "path"):
+        want = {f: owner(f, [s], BUILT_IN, match) for f, s in sheets}
+        assert routes(spark, sheets, match=match) == want
+
+
 def test_first_template_wins_over_all_sheets(spark):
     both = [("x.xlsx", "BOM"), ("x.xlsx", "Hoja"), ("x.xlsx", "SDM")]
     assert routes(spark, both) == {"x.xlsx": "sdm"}

@@ -123,7 +123,7 @@ def _workbook_folder(spark: SparkSession, sf_dir: str) -> str:
         F.concat(F.lit("cotizacion_"), F.floor(number.cast("long") / 500), F.lit(".xlsx")).alias(
             "source_file"
         ),
-        F.concat(F.lit("C"), number).alias("sheet_name"),
+        F.concat(F.lit("Hoja "), number.cast("long") % 500).alias("sheet_name"),
         "row",
         "cells",
     )
@@ -161,7 +161,7 @@ def folder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same folder as a stream, a few files per micro-batch."""
     path = _workbook_folder(spark, sf_dir)
     query = stream_workbooks(
-        spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", files_per_batch=8
+        spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", files_per_batch=20
     )
     query.awaitTermination()
     landed = spark.read.parquet(f"{path}/out/records")
@@ -197,7 +197,7 @@ _client = next(r for r in QUOTATION.rules if r.data_type == "client_info")
 
 
 def _quote_records(rule: Rule) -> str:
-    return f"""SELECT {_book} AS source_file, 'C' || {_number} AS sheet_name,
+    return f"""SELECT {_book} AS source_file, 'Hoja ' || cast(cast({_number} AS bigint) % 500 AS varchar) AS sheet_name,
       'quotation' AS template, '{rule.data_type}' AS data_type, label, value, "row", "column"
     FROM ({records(rule)})"""
 
@@ -240,7 +240,7 @@ ORACLES = {
       count(*), 3, 0, 'ok'
     FROM customer GROUP BY c_custkey // 500""",
     "folder_extract": _quotes
-    + f"""SELECT {_book} AS source_file, 'C' || {_number} AS sheet_name,
+    + f"""SELECT {_book} AS source_file, 'Hoja ' || cast(cast({_number} AS bigint) % 500 AS varchar) AS sheet_name,
       label AS field_type, value AS client_value, "row", "column"
     FROM ({records(_client)})""",
     "folder_stream": _quotes + _quote_union,
