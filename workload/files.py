@@ -98,9 +98,10 @@ def if_exists_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_orderdate").alias("Order Date")
     )
-    write_table(orders.limit(0), name, if_exists="fail")
-    write_table(orders, name, if_exists="replace")
-    write_table(orders, name, if_exists="append")
+    path = scratch(spark)
+    write_table(orders.where(F.lit(False)), name, if_exists="fail", path=path)
+    write_table(orders, name, if_exists="replace", path=path)
+    write_table(orders, name, if_exists="append", path=path)
     return spark.table(name).groupBy("o_orderkey", "order_date").agg(
         F.count(F.lit(1)).alias("copies")
     )
@@ -108,7 +109,8 @@ def if_exists_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_info_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = _catalog_table()
-    write_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), name)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    write_table(orders, name, path=scratch(spark))
     return table_info(spark, name).drop("table_name")
 
 

@@ -80,6 +80,7 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         orders.withColumn("table_name", F.lit("orders"))
         .unionByName(events.withColumn("table_name", F.lit("events")))
+        .withColumn("dtype", F.regexp_replace("dtype", "_ntz$", ""))
         .select("table_name", "column_name", "dtype", "null_count", "unique_count")
     )
 
@@ -280,7 +281,7 @@ _profile_types = {
 def _profile_sql(table_name: str, column: str, dtype: str | None) -> str:
     return (
         f"SELECT '{table_name}' AS table_name, '{column}' AS column_name,"
-        f" '{dtype or 'timestamp_ntz'}' AS dtype,"
+        f" '{dtype or 'timestamp'}' AS dtype,"
         f" count(*) - count({column}) AS null_count, count(DISTINCT {column}) AS unique_count"
         f" FROM {table_name}"
     )
