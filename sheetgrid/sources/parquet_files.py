@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ def _footer(path: str, size: int) -> tuple:
         if path.startswith("file:"):
             filesystem, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
         else:
-            filesystem, name = fs.FileSystem.from_uri(path)
+            filesystem, name = fs.FileSystem.from_uri(quote(path, safe=":/"))
         with filesystem.open_input_file(name) as stream:
             meta = pq.ParquetFile(stream).metadata
         return (
@@ -75,7 +76,12 @@ def _holds_value(f: T.StructField) -> Column:
 
 def _plain(path: Column) -> Column:
     """Path comparable between a listing and `_metadata`."""
-    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _decoded(path: Column) -> Column:
+    """`_metadata` gives paths percent-encoded, with `+` as it is."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def parquet_health(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +103,7 @@ def parquet_health(spark: SparkSession, path: str) -> DataFrame:
         data.select(F.col("_metadata.file_path").alias("_file"), some.alias("_some"))
         .groupBy("_file")
         .agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("_some").alias("_filled"))
-        .select(_plain(F.col("_file")).alias("_key"), "_rows", "_filled")
+        .select(_plain(_decoded(F.col("_file"))).alias("_key"), "_rows", "_filled")
     )
     footers = footer_inventory(spark, path).select(
         "path", "num_rows", "error", _plain(F.col("path")).alias("_key")

@@ -50,7 +50,7 @@ def test_merge_unions_columns_by_name(spark, tmp_path):
 
 
 def test_health_and_footers(spark, tmp_path):
-    base = tmp_path / "lake dir"
+    base = tmp_path / "lake dir 100%+é%20"
     spark.range(5).select("id", F.lit(None).cast("double").alias("v")).coalesce(1).write.parquet(str(base / "good"))
     spark.range(0).select("id").coalesce(1).write.parquet(str(base / "none"))
     nothing = spark.range(3).select(F.lit(None).cast("long").alias("id"), F.lit(float("nan")).alias("v"))

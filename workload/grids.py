@@ -182,7 +182,7 @@ def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xlsx_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = split_parsed(parse_workbooks(pack_workbooks(customer_blocks(spark, sf_dir))))
-    return books.sheets
+    return books.sheets.drop("template")
 
 
 _CUSTOMER_CELLS = """
