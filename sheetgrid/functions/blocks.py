@@ -2,8 +2,9 @@
 
 A join on (source_file, sheet_name) sends all rows of a sheet to one task. The
 helpers here first cut sheets into blocks of consecutive rows and repeat each
-sheet's fact once per block, so the join key is (source_file, sheet_name,
-block) and the largest unit of work is one block, whatever the sheet's size.
+sheet's fact once per block that holds rows, so the join key is (source_file,
+sheet_name, block) and the largest unit of work is one block, whatever the
+sheet's size. Only blocks in use count: row numbers may have gaps of any size.
 """
 
 from __future__ import annotations
@@ -20,38 +21,48 @@ def block_of(row: Column, block_rows: int = BLOCK_ROWS) -> Column:
     return F.call_function("div", row, F.lit(block_rows)).cast("long")
 
 
-def sheet_extent(grid: DataFrame) -> DataFrame:
-    """Last row of every sheet; reads no cell and pre-aggregates per task."""
-    return grid.groupBy(*SHEET_KEYS).agg(F.max("row").alias("last_row"))
+def sheet_blocks(grid: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The blocks of each sheet that hold rows.
 
+    Reads no cell; rows of a block merge within the task that reads them.
+    """
+    return grid.select(
+        *SHEET_KEYS, block_of(F.col("row"), block_rows).alias(BLOCK)
+    ).distinct()
+
+
+def blocks_of_sheets(sheets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The blocks of workbook sheets of known length, without looking at rows.
+
+    A workbook sheet has at most 1,048,576 rows, hence few blocks.
+    """
+    last = block_of(F.col("n_rows") - 1, block_rows)
+    return sheets.where(F.col("n_rows") > 0).select(
+        *SHEET_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias(BLOCK)
+    )
 
-def per_block(
+
+def spread_facts(
     facts: DataFrame,
-    first_row: Column,
-    last_row: Column,
+    blocks: DataFrame,
+    first_row: Column | None = None,
+    on: tuple[str, ...] = (),
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Repeat each fact for every block from first_row to last_row (inclusive)."""
-    return facts.where(first_row <= last_row).withColumn(
-        BLOCK,
-        F.explode(
-            F.sequence(block_of(first_row, block_rows), block_of(last_row, block_rows))
-        ),
-    )
+    """Repeat a sheet's facts (a few records) for its blocks from first_row on."""
+    spread = facts.join(blocks, [*SHEET_KEYS, *on])
+    if first_row is not None:
+        spread = spread.where(F.col(BLOCK) >= block_of(first_row, block_rows))
+    return spread
 
 
-def join_sheet_facts(
+def join_by_block(
     rows: DataFrame,
-    facts: DataFrame,
+    spread: DataFrame,
     on: tuple[str, ...] = (),
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Inner-join `rows` (with a 0-based `row`) to facts of their sheet.
-
-    `facts` has a few records per sheet and holds the sheet's `last_row`; `on`
-    names further columns both sides must agree on.
-    """
-    spread = per_block(facts, F.lit(0), F.col("last_row"), block_rows)
+    """Inner-join `rows` (with a 0-based `row`) to the spread facts of their sheet."""
     return (
         rows.withColumn(BLOCK, block_of(F.col("row"), block_rows))
         .join(spread, [*SHEET_KEYS, *on, BLOCK])
@@ -62,9 +73,9 @@ def join_sheet_facts(
 def join_salted(
     rows: DataFrame, facts: DataFrame, on: list[str], salt: Column, salts: int = 8
 ) -> DataFrame:
-    """Inner-join on `on`, cutting each key into `salts` parts by the hash of `salt`.
+    """Inner-join on `on`, cutting the rows of each key into `salts` parts.
 
-    For a small `facts` side with few rows per key, such as one record per file.
+    `facts`, the side that is repeated, has one record per file or block.
     """
     spread = facts.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

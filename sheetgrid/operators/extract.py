@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from sheetgrid.functions.blocks import (
     BLOCK,
     block_of,
+    blocks_of_sheets,
+    join_by_block,
     join_salted,
-    join_sheet_facts,
-    per_block,
-    sheet_extent,
+    sheet_blocks,
+    spread_facts,
 )
 from sheetgrid.functions.plans import computed_once, pin_cells
 from sheetgrid.functions.text import contains_any, is_not_blank
@@ -179,7 +180,9 @@ def _self_and_near(hits: DataFrame) -> DataFrame:
     )
 
 
-def _near_with_nan(hits: DataFrame, widths: DataFrame, block_rows: int) -> DataFrame:
+def _near_with_nan(
+    hits: DataFrame, widths: DataFrame, blocks: DataFrame, block_rows: int
+) -> DataFrame:
     """NEAR that writes empty neighbours as 'nan' and drops zeros and blanks."""
     at = F.col("_at")
     cell = F.get(F.filter("_reach", lambda c: c["col"] == at), F.lit(0))
@@ -193,7 +196,7 @@ def _near_with_nan(hits: DataFrame, widths: DataFrame, block_rows: int) -> DataF
         F.least(F.col("col") + REACH, F.col("n_cols") - 1),
     )
     return (
-        join_sheet_facts(hits, widths, block_rows=block_rows)
+        join_by_block(hits, spread_facts(widths, blocks), block_rows=block_rows)
         .withColumn("_at", F.explode(positions))
         .where(cell.isNull() | kept)
         .select(_record(F.coalesce(cell["value"], F.lit("nan")), F.col("row"), at))
@@ -201,20 +204,20 @@ def _near_with_nan(hits: DataFrame, widths: DataFrame, block_rows: int) -> DataF
 
 
 def _below(
-    grid: DataFrame, hits: DataFrame, facts: DataFrame, on: tuple[str, ...], block_rows: int
+    grid: DataFrame, hits: DataFrame, blocks: DataFrame, on: tuple[str, ...], block_rows: int
 ) -> DataFrame:
     """Every non-blank cell under a label, once per label above it.
 
-    Each label is sent to the blocks its column can still reach and meets a
-    cell only there, so all joined pairs are results except in the label's own
-    block.
+    Each label is sent to the blocks of its sheet from its own on and meets
+    cells of its column only, so all joined pairs are results except in the
+    label's own block. The labels of a sheet are salted on the way.
     """
-    labels = per_block(
-        join_sheet_facts(hits, facts, on, block_rows),
-        F.col("row"),
-        F.col("last_row"),
-        block_rows,
-    ).select(*SHEET_KEYS, BLOCK, "col", F.col("row").alias("_label_row"), *TAGS, "label")
+    place = F.struct("row", "col")
+    labels = (
+        join_salted(hits, blocks, [*SHEET_KEYS, *on], place)
+        .where(F.col(BLOCK) >= block_of(F.col("row"), block_rows))
+        .select(*SHEET_KEYS, BLOCK, "col", F.col("row").alias("_label_row"), *TAGS, "label")
+    )
     values = (
         pin_cells(grid)
         .select(*SHEET_KEYS, "row", F.inline("cells"))
@@ -254,14 +257,9 @@ def find_anchors(grid: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _after(
-    grid: DataFrame, anchors: DataFrame, facts: DataFrame, on: tuple[str, ...], block_rows: int
+    grid: DataFrame, anchors: DataFrame, blocks: DataFrame, on: tuple[str, ...], block_rows: int
 ) -> DataFrame:
-    reach = per_block(
-        anchors.join(facts, [*SHEET_KEYS, *on]),
-        F.col("anchor_row") + 1,
-        F.col("last_row"),
-        block_rows,
-    ).drop("last_row")
+    reach = spread_facts(anchors, blocks, F.col("anchor_row") + 1, on, block_rows)
     rows = grid.select(
         *SHEET_KEYS,
         block_of(F.col("row"), block_rows).alias(BLOCK),
@@ -276,10 +274,9 @@ def _after(
 
 
 def sheet_widths(grid: DataFrame) -> DataFrame:
-    """Column count and last row of every sheet."""
+    """Column count of every sheet."""
     return grid.groupBy(*SHEET_KEYS).agg(
-        (F.max(F.element_at("cells", -1)["col"]) + 1).alias("n_cols"),
-        F.max("row").alias("last_row"),
+        (F.max(F.element_at("cells", -1)["col"]) + 1).alias("n_cols")
     )
 
 
@@ -308,13 +305,13 @@ def near(
     hits = match_labels(grid, _one(None, NEAR, keywords))
     if _check_blank(blank) == "skip":
         return _self_and_near(hits)
-    return _near_with_nan(hits, sheet_widths(grid), block_rows)
+    return _near_with_nan(hits, sheet_widths(grid), sheet_blocks(grid, block_rows), block_rows)
 
 
 def below(grid: DataFrame, keywords: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Non-blank cells under each label, in its column."""
     hits = match_labels(grid, _one(None, BELOW, keywords))
-    return _below(grid, hits, sheet_extent(grid), (), block_rows)
+    return _below(grid, hits, sheet_blocks(grid, block_rows), (), block_rows)
 
 
 def after(
@@ -325,7 +322,7 @@ def after(
 ) -> DataFrame:
     """Rows after the sheet's first anchor row, as `col_<i>` -> text maps."""
     anchors = find_anchors(grid, _one(None, AFTER, keywords, max_row=max_row))
-    return _after(grid, anchors, sheet_extent(grid), (), block_rows)
+    return _after(grid, anchors, sheet_blocks(grid, block_rows), (), block_rows)
 
 
 def _check_blank(blank: str) -> str:
@@ -347,27 +344,22 @@ def extract(
     A rule applies only to the files its template owns if the grid has a
     `template` column (as ingested workbooks do) or `routes` (source_file,
     template) is given; else every rule applies to every file. `sheets` saves
-    finding the extent of the sheets from their rows.
+    finding the size of the sheets from their rows.
     """
     _check_blank(blank)
+    on: tuple[str, ...] = ()
     if sheets is None:
-        widths = sheet_widths(grid)
-        facts, on = sheet_extent(grid), ()
+        widths, blocks = sheet_widths(grid), sheet_blocks(grid, block_rows)
     else:
-        widths = sheets.where(F.col("n_rows") > 0).select(
-            *SHEET_KEYS, "n_cols", (F.col("n_rows") - 1).alias("last_row")
-        )
-        facts, on = widths.drop("n_cols"), ()
+        widths = sheets.select(*SHEET_KEYS, "n_cols")
+        blocks = blocks_of_sheets(sheets, block_rows)
     if routes is not None:
-        facts = join_salted(
-            facts, routes.select("source_file", "template"), ["source_file"], F.col("sheet_name")
-        )
+        owners = routes.select("source_file", "template")
+        blocks = join_salted(blocks, owners, ["source_file"], F.struct("sheet_name", BLOCK))
         on = ("template",)
 
     def owned(hits: DataFrame) -> DataFrame:
-        if routes is None:
-            return hits
-        return join_sheet_facts(hits, facts, on, block_rows).drop("last_row")
+        return hits if routes is None else join_by_block(hits, blocks, on, block_rows)
 
     parts = []
     in_row = rules_of_shape(templates, SELF, NEAR)
@@ -378,12 +370,17 @@ def extract(
         else:
             parts.append(_self_and_near(hits.where(F.col("_shape") == SELF)))
             parts.append(
-                _near_with_nan(hits.where(F.col("_shape") == NEAR), widths, block_rows)
+                _near_with_nan(
+                    hits.where(F.col("_shape") == NEAR),
+                    widths,
+                    blocks.select(*SHEET_KEYS, BLOCK),
+                    block_rows,
+                )
             )
     down = rules_of_shape(templates, BELOW)
     if down:
         below_grid = _of_templates(grid, down)
-        parts.append(_below(below_grid, match_labels(grid, down), facts, on, block_rows))
+        parts.append(_below(below_grid, match_labels(grid, down), blocks, on, block_rows))
     spark = grid.sparkSession
     if parts:
         records = reduce(DataFrame.unionByName, parts)
@@ -397,7 +394,7 @@ def extract(
     anchored = rules_of_shape(templates, AFTER)
     if anchored:
         after_grid = _of_templates(grid, anchored)
-        row_maps = _after(after_grid, find_anchors(grid, anchored), facts, on, block_rows)
+        row_maps = _after(after_grid, find_anchors(grid, anchored), blocks, on, block_rows)
     else:
         row_maps = spark.createDataFrame(
             [],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetgrid.functions.blocks import BLOCK, block_of, join_sheet_facts, sheet_extent
+from sheetgrid.functions.blocks import BLOCK, block_of, join_by_block, sheet_blocks
 from sheetgrid.functions.plans import computed_once, pin_cells
 from sheetgrid.functions.text import (
     contains_any,
@@ -154,8 +154,8 @@ def promote_header(
     """
     at = _header_position(header_row, skip_rows, header_compat)
     headers = _header_names(grid.where(F.col("row") == at))
-    facts = sheet_extent(grid).where(F.col("last_row") > at).join(headers, SHEET_KEYS, "left")
     data = grid.where(F.col("row") > at)
+    spread = sheet_blocks(data, block_rows).join(headers, SHEET_KEYS, "left")
     if skip_rows:
         data = data.where(~F.col("row").isin(*skip_rows))
 
@@ -166,7 +166,7 @@ def promote_header(
         )
         return F.struct(name, c["value"])
 
-    table = join_sheet_facts(data, facts, block_rows=block_rows).select(
+    table = join_by_block(data, spread, block_rows=block_rows).select(
         *SHEET_KEYS,
         "row",
         computed_once(F.map_from_entries(F.transform("cells", entry))).alias("fields"),

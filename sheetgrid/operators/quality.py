@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetgrid.functions.blocks import sheet_extent
 from sheetgrid.functions.plans import pin_cells
 from sheetgrid.functions.text import is_datetime_text, is_numeric_text, strip
 from sheetgrid.model import BOOLEAN, DATETIME, NUMBER, SHEET_KEYS
@@ -398,7 +397,8 @@ def missing_columns(grid: DataFrame, required: Sequence[str], header_row: int =
         *SHEET_KEYS, F.array_except(wanted, present).alias("_missing")
     )
     return (
-        sheet_extent(grid)
+        grid.select(*SHEET_KEYS)
+        .distinct()
         .join(headers, SHEET_KEYS, "left")
         .select(*SHEET_KEYS, F.explode(F.coalesce("_missing", wanted)).alias("missing"))
     )

@@ -279,3 +279,15 @@ def test_blocks_give_what_nested_loops_give(grid, seed):
     got = ex.after(g, ["QTY"], block_rows=3)
     for (_, name), rows in sheets.items():
         assert row_maps(got.where(F.col("sheet_name") == name)) == brute_after(rows, "QTY")
+
+
+def test_row_numbers_may_have_gaps_of_any_size(grid):
+    far = 10**15
+    g = grid({FILE: {0: ["QTY"], 5: ["a"], far: ["QTY"], far + 1: ["b"]}})
+    assert records(ex.below(g, ["QTY"])) == [
+        ("QTY", "QTY", far + 1, 1),
+        ("QTY", "a", 6, 1),
+        ("QTY", "b", far + 2, 1),
+        ("QTY", "b", far + 2, 1),
+    ]
+    assert [row for row, _ in row_maps(ex.after(g, ["QTY"]))] == [6, far + 1, far + 2]

@@ -33,10 +33,10 @@ def test_row_bounds_reach_the_scan(spark, tmp_path):
         assert "LessThan" in plan(df).split("PushedFilters:")[1].split("]")[0]
 
 
-def test_extents_do_not_read_cells(spark, tmp_path):
-    from sheetgrid.functions.blocks import sheet_extent
+def test_blocks_do_not_read_cells(spark, tmp_path):
+    from sheetgrid.functions.blocks import sheet_blocks
 
-    schema = plan(sheet_extent(bronze(spark, tmp_path))).split("ReadSchema:")[1].split(">")[0]
+    schema = plan(sheet_blocks(bronze(spark, tmp_path))).split("ReadSchema:")[1].split(">")[0]
     assert "cells" not in schema
 
 
