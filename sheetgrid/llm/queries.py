@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetgrid.llm import minhash, substring
+from sheetgrid.llm import embeddings, minhash, substring
 
 Q: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,4 +59,22 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
     ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)"""
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op10_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_dot_product(x.e, y.e) >= 0.9 * x.l * y.l),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM v
+  UNION SELECT reach.node, link.b FROM reach JOIN link ON link.a = reach.seen),
+c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id"""
+
+
+QUERIES = {"op10_embedding_dedup": op10_embedding_dedup, "op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
