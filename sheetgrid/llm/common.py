@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words, as a Java and DuckDB pattern.
@@ -104,33 +104,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return done
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, rows: int) -> DataFrame:
-    """Add `rank`, counting from 0 within equal `keys`, without a hot task.
+def running(
+    df: DataFrame, keys: list[str], weight: Column, order: list[Column], spread: Column, rows: int, name: str
+) -> DataFrame:
+    """Add `name`: the sum of `weight` over the rows before this one within equal `keys`.
 
-    Rows are dealt by `spread` (a hash of the row's identity) into parts of about 65,536
-    rows, so that a key with a third of all rows is many groups. Ranks run through part 0,
-    then part 1 and so on; within a part by `order`. Only (key, part, count) records
-    meet per key. Null keys are a key of their own.
+    With weight 1 that is a rank from 0. Rows are dealt by `spread` (a hash of the row) into
+    parts of about 65,536, so that a key with a third of all rows is many groups. Sums
+    run through part 0, then part 1 and so on; within a part by `order`. Only one
+    record per key and part meets per key. Null keys are a key of their own.
     """
-    from pyspark.sql import Window
-
     parts = max(1, -(-rows // 65536))
-    df = df.withColumn("_part", F.pmod(spread, F.lit(parts)).cast("int"))
-    by_key = Window.partitionBy(*keys).orderBy("_part")
+    df = df.withColumn("_part", F.pmod(spread, F.lit(parts)).cast("int")).withColumn("_w", weight.cast("long"))
+    by_key = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         df.groupBy(*keys, "_part")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(by_key) - F.col("_n"))
-        .drop("_n")
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), "_before")
+        .agg(F.sum("_w").alias("_sum"))
+        .select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys],
+            F.col("_part").alias("_p"),
+            F.coalesce(F.sum("_sum").over(by_key), F.lit(0)).alias("_before"),
+        )
     )
-    own = Window.partitionBy(*keys, "_part").orderBy(*order)
+    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_part") == F.col("_p")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return (
-        df.withColumn("_rn", F.row_number().over(own) - 1)
+        df.withColumn("_own", F.coalesce(F.sum("_w").over(own), F.lit(0)))
         .join(before, same)
-        .withColumn("rank", F.col("_before") + F.col("_rn"))
-        .drop("_part", "_rn", "_p", "_before", *[f"_k_{k}" for k in keys])
+        .withColumn(name, F.col("_before") + F.col("_own"))
+        .drop("_part", "_w", "_own", "_p", "_before", *[f"_k_{k}" for k in keys])
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetgrid.llm import embeddings, minhash, substring
+from sheetgrid.llm import embeddings, minhash, mixing, packing, substring
 
 Q: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +60,14 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
     ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)"""
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -77,4 +86,4 @@ SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id
 FROM v JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id"""
 
 
-QUERIES = {"op10_embedding_dedup": op10_embedding_dedup, "op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
+QUERIES = {"op5_mixing": op5_mixing, "op8_packing": op8_packing, "op10_embedding_dedup": op10_embedding_dedup, "op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
