@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetgrid.llm import embeddings, minhash, mixing, packing, substring
+from sheetgrid.llm import embeddings, minhash, mixing, packing, quality, substring, urls
 
 Q: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,46 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("distance2")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages")).drop("aliases_blocked")
+
+
+ORACLES["op3_url_filter"] = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, html, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, rest
+  FROM u),
+fit AS (
+  SELECT page_id, host, path, CASE WHEN rest IS NOT NULL THEN host || tail END AS k, html,
+    CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM p),
+tie AS (
+  SELECT k AS x, regexp_replace(regexp_extract(t, 'href="[a-z]+://([^"#]*)', 1), '#.*', '') AS y
+  FROM (SELECT k, unnest(regexp_extract_all(html, '<link rel="canonical"[^>]*>')) AS t FROM fit)),
+edge AS MATERIALIZED (SELECT x, y FROM tie WHERE y <> '' AND x <> y UNION SELECT y, x FROM tie WHERE y <> '' AND x <> y),
+reach AS (
+  SELECT DISTINCT k AS node, k AS seen FROM fit WHERE k IS NOT NULL
+  UNION SELECT reach.node, edge.y FROM reach JOIN edge ON edge.x = reach.seen),
+verdicts AS (
+  SELECT node, bool_or(rule IN ('org/', 'com/fr/')) AS allowed, bool_or(rule NOT IN ('org/', 'com/fr/')) AS blocked
+  FROM reach JOIN (SELECT DISTINCT k, rule FROM fit) ON k = seen GROUP BY node)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END AS verdict
+FROM fit LEFT JOIN verdicts ON node = k"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("intervals")
 
@@ -86,4 +126,4 @@ SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id
 FROM v JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id"""
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op8_packing": op8_packing, "op10_embedding_dedup": op10_embedding_dedup, "op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_url_filter": op3_url_filter, "op5_mixing": op5_mixing, "op8_packing": op8_packing, "op10_embedding_dedup": op10_embedding_dedup, "op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
