@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheetgrid.llm import embeddings, minhash, mixing, packing, quality, substring, urls
+from sheetgrid.llm import embeddings, minhash, mixing, packing, quality, substring, toxicity, urls
 
 Q: dict = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +109,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), seen)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -126,4 +133,4 @@ SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id
 FROM v JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id"""
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_url_filter": op3_url_filter, "op5_mixing": op5_mixing, "op8_packing": op8_packing, "op10_embedding_dedup": op10_embedding_dedup, "op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
+QUERIES = {"op9_toxicity": op9_toxicity, "op2_quality_rules": op2_quality_rules, "op3_url_filter": op3_url_filter, "op5_mixing": op5_mixing, "op8_packing": op8_packing, "op10_embedding_dedup": op10_embedding_dedup, "op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
