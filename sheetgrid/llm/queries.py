@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetgrid.llm import embeddings, minhash, mixing, packing, quality, substring, toxicity, urls
+from sheetgrid.llm import embeddings, minhash, mixing, packing, quality, secrets, substring, tokencount, toxicity, urls
 
 Q: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +105,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secrets.scan(documents, public_tokenizers.path("byte_bpe_50k.json"), path="source")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -133,4 +142,18 @@ SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id
 FROM v JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id"""
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op2_quality_rules": op2_quality_rules, "op3_url_filter": op3_url_filter, "op5_mixing": op5_mixing, "op8_packing": op8_packing, "op10_embedding_dedup": op10_embedding_dedup, "op1_minhash_dedup": op1_minhash_dedup, "op4_substring_dedup": op4_substring_dedup}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_minhash_dedup,
+        op2_quality_rules,
+        op3_url_filter,
+        op4_substring_dedup,
+        op5_mixing,
+        op6_secret_scan,
+        op7_token_counts,
+        op8_packing,
+        op9_toxicity,
+        op10_embedding_dedup,
+    )
+}
