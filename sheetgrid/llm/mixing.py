@@ -108,7 +108,7 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(documents: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per document: doc_id, size, source_size, target (of its source), taken.
+    """Per document: doc_id, size, source_size, target (of its source), taken, source, text_hash.
 
     taken = size times 0, 1 or 2. Null and empty texts have size 0. Null doc_ids and rows that
     repeat a doc_id are documents of their own; a null source is a source. Reruns agree: the
@@ -141,4 +141,28 @@ def mix(documents: DataFrame, seed: int = SEED) -> DataFrame:
         "source_size",
         "target",
         (F.col("size") * (F.col("base") + F.when(F.col("rank") < F.col("more"), 1).otherwise(0))).cast("long").alias("taken"),
+        "source",
+        "text_hash",
+    )
+
+
+def mixed(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents as often as `mix` takes them; all columns stay.
+
+    Rows equal in doc_id, source and text are taken together. Texts without words are not taken.
+    """
+    copies = (
+        chosen.where("taken > 0")
+        .groupBy("doc_id", "source", "text_hash")
+        .agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"))
+        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "copies")
+    )
+    keyed = documents.withColumns(
+        {"_key": documents["`doc_id`"].cast("long"), "_text": F.xxhash64(documents["`text`"])}
+    ).dropDuplicates(["_key", "source", "_text"])
+    same = F.col("_key").eqNullSafe(F.col("_id")) & keyed["`source`"].eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_hash"))
+    return (
+        keyed.join(copies, same)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select(*[keyed[f"`{n}`"] for n in documents.columns])
     )

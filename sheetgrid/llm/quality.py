@@ -233,7 +233,7 @@ def estimates(cells: DataFrame, steps: int = STEPS, prior: int = PRIOR) -> DataF
 
 def judge(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, distance2, kept.
+    base_failed, kept, distance2, text_hash.
 
     base_failed: fewer than ten words, or more than a fifth of the words in repeated windows.
     distance2 is null for those. Null and empty texts have no words and fail. A null language
@@ -245,8 +245,13 @@ def judge(documents: DataFrame) -> DataFrame:
     )
     source = plain(documents, "doc_id", "text", "lang", "source")
     read = stored(
-        source.select(F.col("doc_id").cast("long").alias("doc_id"), group.alias("g"), counts(F.col("text")).alias("c"))
-        .select("doc_id", "g", "c.*")
+        source.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.xxhash64("text").alias("text_hash"),
+            group.alias("g"),
+            counts(F.col("text")).alias("c"),
+        )
+        .select("doc_id", "text_hash", "g", "c.*")
         .withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
         .select("*", *_vector())
     )
@@ -260,6 +265,7 @@ def judge(documents: DataFrame) -> DataFrame:
         .withColumn("distance2", F.when(~F.col("base_failed"), far))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
         .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept"
+            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+            "distance2", "text_hash",
         )
     )

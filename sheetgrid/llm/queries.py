@@ -42,7 +42,7 @@ FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("distance2")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("distance2", "text_hash")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +102,12 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
 FROM d LEFT JOIN gone USING (doc_id)"""
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "text_hash")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return secrets.scan(documents, public_tokenizers.path("byte_bpe_50k.json"), path="source")
+    return secrets.scan(documents, public_tokenizers.path("byte_bpe_50k.json"), path="source").drop("text_hash")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,30 +144,35 @@ def _scan(batches: Iterator[pa.RecordBatch], model: np.ndarray, vocabulary_path:
                     rows["value"].append(value)
                     rows["label"].append(rule_label(value, x))
                     rows["x"].append(x)
+            where = pa.array(rows["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(rows["row"], pa.int64())),
+                    ids.take(where),
+                    batch.column("text_hash").take(where),
                     pa.array(rows["begin"], pa.int64()),
                     pa.array(rows["end"], pa.int64()),
                     pa.array(rows["value"], pa.string()),
                     pa.array(rows["label"], pa.int32()),
                     pa.array(rows["x"], pa.list_(pa.float64())),
                 ],
-                ["doc_id", "begin", "end", "value", "label", "x"],
+                ["doc_id", "text_hash", "begin", "end", "value", "label", "x"],
             )
 
 
 def candidates(documents: DataFrame, vocabulary_path: str, path: str | None = None) -> DataFrame:
-    """(doc_id, begin, end, value, label, x): every candidate of every text. Positions are code
+    """(doc_id, text_hash, begin, end, value, label, x): every candidate of every text. Positions are code
     points; `path` names the column with a document's path."""
     model = toxicity.language_model(documents)
     names = ["doc_id", "text", *([path] if path else [])]
     source = plain(documents, *names).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(f"`{path}`").cast("string") if path else F.lit("")).alias("path")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.xxhash64("text").alias("text_hash"),
+        (F.col(f"`{path}`").cast("string") if path else F.lit("")).alias("path"),
     )
     return source.mapInArrow(
         lambda b: _scan(b, model, vocabulary_path),
-        "doc_id long, begin long, end long, value string, label int, x array<double>",
+        "doc_id long, text_hash long, begin long, end long, value string, label int, x array<double>",
     )
 
 
@@ -193,7 +198,8 @@ def train(labelled: DataFrame, bound: int = BOUND, seed: int = 6):
 def scan(
     documents: DataFrame, vocabulary_path: str, path: str | None = None, labelled: DataFrame | None = None, bound: int = BOUND
 ) -> DataFrame:
-    """Per candidate: doc_id, begin, end (code points), value_sha256, probability, is_secret.
+    """Per candidate: doc_id, begin, end (code points), value_sha256, probability, is_secret,
+    text_hash.
 
     `labelled`: findings with value, label and x, as `candidates` gives; else the rules label.
     Null and empty texts have no candidates. Without findings of both labels the narrow rules
@@ -217,30 +223,40 @@ def scan(
         F.sha2("value", 256).alias("value_sha256"),
         F.round("probability", 6).alias("probability"),
         (F.col("probability") >= 0.5).alias("is_secret"),
+        "text_hash",
     )
 
 
-def redact(documents: DataFrame, findings: DataFrame, mask: str = MASK) -> DataFrame:
-    """The documents with each secret replaced by `mask`; all columns and rows stay.
+def redact(documents: DataFrame, findings: DataFrame, mask: str = MASK, length: str | None = None) -> DataFrame:
+    """The documents with each secret replaced by `mask`; all rows and columns stay.
 
-    For tables whose doc_id is unique among rows with findings.
+    Findings belong to a text, whatever its doc_id: a secret in one of several equal texts is masked
+    in all. `length` names a column with the text's length, set anew where the text changes.
     """
     spans = (
-        findings.where("is_secret AND doc_id IS NOT NULL")
-        .groupBy(F.col("doc_id").alias("_id"))
+        findings.where("is_secret")
+        .groupBy(F.col("text_hash").alias("_hash"))
         .agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("_spans"))
     )
     text = documents["`text`"]
-    joined = documents.join(spans, documents["`doc_id`"].cast("long") == F.col("_id"), "left")
+    joined = documents.join(spans, F.xxhash64(text) == F.col("_hash"), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
         "_spans",
         start,
         lambda a, s: F.struct(
             s["end"].alias("at"),
-            F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), (s["begin"] - a["at"]).cast("int")), F.lit(mask)).alias("out"),
+            F.concat(
+                a["out"],
+                F.substr(text, (a["at"] + 1).cast("int"), (s["begin"] - a["at"]).cast("int")),
+                F.lit(mask),
+            ).alias("out"),
         ),
         lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))),
     )
-    kept = [documents[f"`{n}`"] if n != "text" else F.when(F.col("_id").isNull(), text).otherwise(cut).alias("text") for n in documents.columns]
-    return joined.select(*kept)
+    changed = F.col("_hash").isNotNull()
+    new = {"text": F.when(changed, cut).otherwise(text).alias("text")}
+    if length:
+        kind = documents.schema[length].dataType
+        new[length] = F.when(changed, F.length(cut).cast(kind)).otherwise(documents[f"`{length}`"]).alias(length)
+    return joined.select(*[new.get(n, documents[f"`{n}`"]) for n in documents.columns])
