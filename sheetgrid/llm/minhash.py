@@ -152,6 +152,19 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     )
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component): a small node within two steps or so of each linked node.
+
+    Enough to tell most members of a component that they are connected. Where it does not,
+    a pair is compared that need not be.
+    """
+    a, b = F.col("a"), F.col("b")
+    both = links.select(F.explode(F.array(a, b)).alias("node"), F.least(a, b).alias("component"))
+    once = stored(both.groupBy("node").agg(F.min("component").alias("component")))
+    up = once.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    return stored(once.join(up, "component").select("node", F.col("next").alias("component")))
+
+
 def near_duplicates(
     documents: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -195,8 +208,8 @@ def near_duplicates(
         members.join(centres, "bucket").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     )
     links = stored(confirm(pairs, texts, size, percent))
-    tested, groups = pairs, stored(components(links))
-    quiet, turn = 0, 0
+    tested = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    groups, quiet, turn = _labels(links), 0, 0
     while quiet < 2:
         turn += 1
         at = members.join(groups, F.col("doc_id") == F.col("node"), "left").select(
@@ -215,26 +228,25 @@ def near_duplicates(
         tries = stored(
             at.join(open_, "bucket")
             .where("component <> own")
-            .select("a", F.col("doc_id").alias("b"))
+            .select("a", F.col("doc_id").alias("b"), F.least("a", "doc_id").alias("lo"), F.greatest("a", "doc_id").alias("hi"))
             .distinct()
-            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            .join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+            .join(tested, ["lo", "hi"], "left_anti")
         )
         if tries.isEmpty():
             quiet += 1
             if open_.isEmpty():
                 break
             continue
-        more = stored(confirm(tries, texts, size, percent))
-        tested = tested.unionByName(tries)
+        more = stored(confirm(tries.select("a", "b"), texts, size, percent))
+        tested = tested.unionByName(tries.select("lo", "hi"))
         if more.isEmpty():
             quiet += 1
         else:
             quiet = 0
             links = links.unionByName(more)
-            groups = stored(components(links))
+            groups = _labels(links)
     known = stored(
-        classes.join(groups, F.col("doc_id") == F.col("node"), "left").select(
+        classes.join(stored(components(links)), F.col("doc_id") == F.col("node"), "left").select(
             "set_key", F.coalesce("component", "doc_id").alias("component_id")
         )
     )
