@@ -175,38 +175,38 @@ def distance(one_sided: bool) -> Column:
 
 
 def _concentrate(cells: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each group's nearer half."""
-    near = cells.join(_cholesky(params), "g").select(
-        "g", "w", *DIMS, F.floor(64 * F.log1p(distance(False))).cast("long").alias("bin")
-    )
-    by = Window.partitionBy("g")
-    reach = stored(
-        near.groupBy("g", "bin")
-        .agg(F.sum("w").alias("w"))
-        .withColumn("upto", F.sum("w").over(by.orderBy("bin")))
-        .withColumn("all", F.sum("w").over(by))
-        .where(f"2 * upto >= all + {len(DIMS) + 1} OR upto = all")
-        .groupBy("g")
-        .agg(F.min("bin").alias("last"))
-    )
+    """One concentration step: mean and covariance of each group's nearer half.
+
+    Sums are taken per (group, distance bin), so a hot group merges map-side; the bins up
+    to the half are then added up.
+    """
     n = range(len(DIMS))
     exact = lambda x: F.sum((x * F.col("w")).cast("decimal(28,0)"))
-    sums = (
-        near.join(reach, "g")
-        .where("bin <= last")
-        .groupBy("g")
+    sums = ["w", *[f"s{i}" for i in n], *[f"q{i}{j}" for i in n for j in range(i + 1)]]
+    by = Window.partitionBy("g")
+    bins = (
+        cells.join(_cholesky(params), "g")
+        .groupBy("g", F.floor(64 * F.log1p(distance(False))).cast("long").alias("bin"))
         .agg(
-            F.sum("w").cast("double").alias("n"),
-            *[exact(F.col(z)).cast("double").alias(f"s{i}") for i, z in enumerate(DIMS)],
-            *[exact(F.col(DIMS[i]) * F.col(DIMS[j])).cast("double").alias(f"q{i}{j}") for i in n for j in range(i + 1)],
+            F.sum("w").alias("w"),
+            *[exact(F.col(z)).alias(f"s{i}") for i, z in enumerate(DIMS)],
+            *[exact(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i in n for j in range(i + 1)],
         )
+        .withColumn("before", F.sum("w").over(by.orderBy("bin")) - F.col("w"))
+        .withColumn("all", F.sum("w").over(by))
+    )
+    near = (
+        bins.where(f"2 * before < all + {len(DIMS) + 1}")
+        .groupBy("g")
+        .agg(*[F.sum(c).cast("double").alias(c) for c in sums])
     )
+    mean = lambda i: F.col(f"s{i}") / F.col("w")
     return stored(
-        sums.select(
+        near.select(
             "g",
-            *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in n],
+            *[mean(i).alias(f"m{i}") for i in n],
             *[
-                (CONSISTENCY * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}")
+                (CONSISTENCY * (F.col(f"q{i}{j}") / F.col("w") - mean(i) * mean(j))).alias(f"c{i}{j}")
                 for i in n
                 for j in range(i + 1)
             ],
