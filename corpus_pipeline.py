@@ -21,29 +21,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetgrid.llm import minhash, mixing, packing, quality, secrets
-from sheetgrid.llm.common import stored
+from sheetgrid.llm.common import boxed, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    kept = (
-        quality.judge(docs)
-        .where("kept")
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    return docs.join(kept, same, "left_semi")
+    kept = quality.judge(docs).where("kept").select("doc_id", "text_hash")
+    rows = boxed(docs, _id=docs["doc_id"].cast("long"), _hash=F.xxhash64(docs["text"]))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
+    return rows.join(kept, same, "left_semi").select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"))
-    first = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-    whole = docs.join(kept.distinct(), docs["doc_id"].cast("long") == F.col("_id"))
-    one = whole.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = boxed(docs, _id=docs["doc_id"].cast("long"), _hash=F.xxhash64(docs["text"]))
+    first = Window.partitionBy("_id").orderBy("_hash")
+    one = rows.join(kept, F.col("_id") == F.col("doc_id")).withColumn("_nth", F.row_number().over(first))
+    return one.where("_nth = 1").select("doc.*").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,15 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{name}`"] for name in names])
 
 
+def boxed(df: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows in one column `doc` beside key columns, so that no other name can clash.
+
+    ``select("doc.*")`` gives the rows back.
+    """
+    whole = F.struct(*[df[f"`{name}`"] for name in df.columns]).alias("doc")
+    return df.select(whole, *[key.alias(name) for name, key in keys.items()])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (node, component), component = smallest node reachable.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetgrid.llm.common import plain, running, stored
+from sheetgrid.llm.common import boxed, plain, running, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -155,14 +155,20 @@ def mixed(documents: DataFrame, chosen: DataFrame) -> DataFrame:
         chosen.where("taken > 0")
         .groupBy("doc_id", "source", "text_hash")
         .agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"))
-        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "copies")
     )
-    keyed = documents.withColumns(
-        {"_key": documents["`doc_id`"].cast("long"), "_text": F.xxhash64(documents["`text`"])}
-    ).dropDuplicates(["_key", "source", "_text"])
-    same = F.col("_key").eqNullSafe(F.col("_id")) & keyed["`source`"].eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_hash"))
+    rows = boxed(
+        documents,
+        _id=documents["`doc_id`"].cast("long"),
+        _source=documents["`source`"],
+        _hash=F.xxhash64(documents["`text`"]),
+    ).dropDuplicates(["_id", "_source", "_hash"])
+    same = (
+        F.col("_id").eqNullSafe(F.col("doc_id"))
+        & F.col("_source").eqNullSafe(F.col("source"))
+        & (F.col("_hash") == F.col("text_hash"))
+    )
     return (
-        keyed.join(copies, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*[keyed[f"`{n}`"] for n in documents.columns])
+        rows.join(copies, same)
+        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("doc.*")
     )

@@ -153,6 +153,29 @@ def solve_counts(counts: np.ndarray, combos: np.ndarray, rounds: int = 1500) ->
     return x
 
 
+def fill(left: np.ndarray, room: int, taken: int) -> dict[int, int]:
+    """{length: times} of the tails left that fill `room` best; one of length `taken` is spoken for.
+
+    Reachable sums as bits; k equal tails are one item (1, 2, 4, ... and the rest).
+    """
+    mask, reach, items = (1 << room + 1) - 1, [1], []
+    for length in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        free, bundle = min(int(left[length]) - (length == taken), room // length), 1
+        while free > 0 and not reach[-1] >> room & 1:
+            k = min(bundle, free)
+            new = (reach[-1] | reach[-1] << length * k) & mask
+            if new != reach[-1]:
+                items.append((length, k))
+                reach.append(new)
+            free, bundle = free - k, bundle * 2
+    at, used = reach[-1].bit_length() - 1, {}
+    for (length, k), before in zip(reversed(items), reversed(reach[:-1])):
+        if not before >> at & 1:
+            used[length] = used.get(length, 0) + k
+            at -= length * k
+    return used
+
+
 def plan_patterns(histogram: dict[int, int], window: int) -> list[tuple[list[tuple[int, int]], int]]:
     """[(pattern, repeats)]: pattern = [(length, times)], longest first; every tail used exactly once."""
     left = np.zeros(window, dtype=np.int64)
@@ -170,16 +193,14 @@ def plan_patterns(histogram: dict[int, int], window: int) -> list[tuple[list[tup
                 left[lengths] -= n * times
                 found.append((list(zip(lengths.tolist()[::-1], times.tolist()[::-1])), n))
     while left.any():
-        room, pattern = window, []
-        for length in np.flatnonzero(left)[::-1].tolist():
-            times = min(room // length, int(left[length]))
-            if times:
-                pattern.append((length, times))
-                room -= times * length
-        n = min(int(left[length]) // times for length, times in pattern)
-        for length, times in pattern:
+        first = int(np.flatnonzero(left)[-1])
+        pattern = {first: 1}
+        for length, times in fill(left, window - first, first).items():
+            pattern[length] = pattern.get(length, 0) + times
+        n = min(int(left[length]) // times for length, times in pattern.items())
+        for length, times in pattern.items():
             left[length] -= n * times
-        found.append((pattern, n))
+        found.append((sorted(pattern.items(), reverse=True), n))
     return found
 
 

@@ -51,34 +51,33 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_url_filter"] = r"""
 WITH RECURSIVE u AS (
-  SELECT page_id, html, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 p AS (
   SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-    regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, rest
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, rest
   FROM u),
+k AS (SELECT page_id, html, host, path, CASE WHEN rest IS NOT NULL THEN host || tail END AS k FROM p),
+tie AS (
+  SELECT k AS x, regexp_extract(t, 'href="[a-z]+://([^"#]*)', 1) AS y
+  FROM (SELECT k, unnest(regexp_extract_all(html, '<link rel="canonical"[^>]*>')) AS t FROM k)),
+edge AS MATERIALIZED (SELECT x, y FROM tie WHERE y <> '' AND x <> y UNION SELECT y, x FROM tie WHERE y <> '' AND x <> y),
+node AS (SELECT k FROM k WHERE k IS NOT NULL UNION SELECT x FROM edge),
+place AS (SELECT k, regexp_extract(k, '^[^/?#]*') AS host, regexp_extract(k, '^[^/?#]*([^?#]*)', 1) AS path FROM node),
 fit AS (
-  SELECT page_id, host, path, CASE WHEN rest IS NOT NULL THEN host || tail END AS k, html,
-    CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  SELECT k, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
       WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
       WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
       WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM p),
-tie AS (
-  SELECT k AS x, regexp_replace(regexp_extract(t, 'href="[a-z]+://([^"#]*)', 1), '#.*', '') AS y
-  FROM (SELECT k, unnest(regexp_extract_all(html, '<link rel="canonical"[^>]*>')) AS t FROM fit)),
-edge AS MATERIALIZED (SELECT x, y FROM tie WHERE y <> '' AND x <> y UNION SELECT y, x FROM tie WHERE y <> '' AND x <> y),
-reach AS (
-  SELECT DISTINCT k AS node, k AS seen FROM fit WHERE k IS NOT NULL
-  UNION SELECT reach.node, edge.y FROM reach JOIN edge ON edge.x = reach.seen),
+  FROM place),
+reach AS (SELECT k AS n, k AS seen FROM node UNION SELECT reach.n, edge.y FROM reach JOIN edge ON edge.x = reach.seen),
 verdicts AS (
-  SELECT node, bool_or(rule IN ('org/', 'com/fr/')) AS allowed, bool_or(rule NOT IN ('org/', 'com/fr/')) AS blocked
-  FROM reach JOIN (SELECT DISTINCT k, rule FROM fit) ON k = seen GROUP BY node)
+  SELECT n, bool_or(rule IN ('org/', 'com/fr/')) AS allowed, bool_or(rule NOT IN ('org/', 'com/fr/')) AS blocked
+  FROM reach JOIN fit ON fit.k = seen GROUP BY n)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END AS verdict
-FROM fit LEFT JOIN verdicts ON node = k"""
+FROM k LEFT JOIN fit USING (k) LEFT JOIN verdicts ON n = k.k"""
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

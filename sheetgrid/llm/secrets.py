@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetgrid.llm import rolling, toxicity
-from sheetgrid.llm.common import plain, stored
+from sheetgrid.llm.common import boxed, plain, stored
 
 BOUND = 20_000
 LEAST = 16
@@ -235,14 +235,14 @@ def redact(documents: DataFrame, findings: DataFrame, mask: str = MASK, length:
     """
     spans = (
         findings.where("is_secret")
-        .groupBy(F.col("text_hash").alias("_hash"))
-        .agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("_spans"))
+        .groupBy("text_hash")
+        .agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     )
-    text = documents["`text`"]
-    joined = documents.join(spans, F.xxhash64(text) == F.col("_hash"), "left")
+    rows = boxed(documents, _hash=F.xxhash64(documents["`text`"]))
+    text = F.col("doc")["text"]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(
-        "_spans",
+    masked = F.aggregate(
+        "spans",
         start,
         lambda a, s: F.struct(
             s["end"].alias("at"),
@@ -254,9 +254,12 @@ def redact(documents: DataFrame, findings: DataFrame, mask: str = MASK, length:
         ),
         lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))),
     )
-    changed = F.col("_hash").isNotNull()
-    new = {"text": F.when(changed, cut).otherwise(text).alias("text")}
+    new = F.col("doc").withField("text", masked)
     if length:
         kind = documents.schema[length].dataType
-        new[length] = F.when(changed, F.length(cut).cast(kind)).otherwise(documents[f"`{length}`"]).alias(length)
-    return joined.select(*[new.get(n, documents[f"`{n}`"]) for n in documents.columns])
+        new = new.withField(f"`{length}`", F.length(masked).cast(kind))
+    return (
+        rows.join(spans, F.col("_hash") == F.col("text_hash"), "left")
+        .select(F.when(F.col("spans").isNull(), F.col("doc")).otherwise(new).alias("doc"))
+        .select("doc.*")
+    )

@@ -1,0 +1,84 @@
+"""URL filter: rules by definition, ties by graph search."""
+
+import random
+
+import duckdb
+
+from sheetgrid.llm import urls
+from sheetgrid.llm.queries import ORACLES
+from tests.llm.conftest import rows_of
+
+
+def page(url, canonical=None, refresh=None):
+    html = "<html><head><meta charset='utf-8'>"
+    if canonical is not None:
+        html += f'<link rel="stylesheet" href="x.css"><LINK href="{canonical}" rel="Canonical">'
+    if refresh is not None:
+        html += f"<meta http-equiv=refresh content='0; URL={refresh}'>"
+    return html + "</head><p>text</p>"
+
+
+def judged(spark, rows, redirects=None):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    if redirects is not None:
+        redirects = spark.createDataFrame(redirects, "from_url string, to_url string")
+    return {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(df, redirects=redirects).collect()}
+
+
+def test_rules_and_propagation(spark):
+    rows = [
+        (1, "http://a.net/x", page("", "https://www.example.org/en/17")),  # alias of a blocked URL
+        (2, "https://A.NET/x#part", None),  # the same URL as 1
+        (3, "http://b.net/p/q", page("", "/r")),  # alias of 4 only
+        (4, "http://b.net/r", page("", refresh="http://shop.com/de/1")),  # tied to a block
+        (5, "http://c.net/", page("", "http://shop.com/de/2")),  # blocked, but
+        (6, "http://c.net/z", page("", "http://c.net/")),
+        (7, "http://d.com/fr/1", page("", "http://c.net/")),  # an explicit allow in its component
+        (8, "http://d.org/es/", page("", "http://shop.com/de/8")),  # own rule first
+        (9, "http://sub.example.org/es/a", ""),
+        (10, "http://notexample.org/es/a", ""),
+        (11, "mailto:x", page("", "http://shop.com/de/1")),
+        (12, None, None),
+        (13, "http://e.net/s", page("")),
+        (14, "http://example.org", page("")),  # empty path: no rule
+    ]
+    got = judged(spark, rows, [("http://e.net/s", "http://f.net/t"), ("http://f.net/t", "http://shop.com/de/9")])
+    assert got == {
+        1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "block"),
+        5: (None, "allow"), 6: (None, "allow"), 7: ("com/fr/", "allow"), 8: ("org/", "allow"),
+        9: ("example.org/es/", "block"), 10: ("org/", "allow"), 11: (None, "allow"), 12: (None, "allow"),
+        13: (None, "block"), 14: (None, "allow"),
+    }
+
+
+def test_random_ties_equal_sql(spark):
+    rng = random.Random(3)
+    site = lambda: f"http://{rng.choice('abcdef')}.{rng.choice(['net', 'com', 'example.org'])}/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.randrange(12)}"
+    rows = []
+    for i in range(300):
+        html = f'<p><link rel="canonical" href="{site()}"></p>' if rng.random() < 0.25 else "<p></p>"
+        rows.append((i, site() + rng.choice(["", "#top", "?a=1"]), html))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    pages = df.toPandas()  # noqa: F841
+    want = con.execute(ORACLES["op3_url_filter"]).fetch_df().replace({float("nan"): None})
+    names = ("page_id", "host", "path", "rule", "verdict")
+    assert rows_of(urls.filter_urls(df), *names) == sorted(
+        (tuple(None if v is None or v != v else v for v in r) for r in want[list(names)].itertuples(index=False)), key=repr
+    )
+
+
+def test_relative_links(spark):
+    cases = [("http://h.x/a/b?q#f", t) for t in ("c", "/c", "//o.y/c", "?z=1", "#g", "https://o.y/c", "./c")] + [("https://h.x", "c")]
+    df = spark.createDataFrame(cases, "url string, target string")
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in df.select(urls.absolute(F.col("target"), F.col("url"))).collect()]
+    assert got == ["http://h.x/a/c", "http://h.x/c", "http://o.y/c", "http://h.x/a/b?z=1", "http://h.x/a/b?q#f", "https://o.y/c", "http://h.x/a/./c", "https://h.x/c"]
+
+
+def test_empty_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.com/de/1", "<link>", "n"), (1, "http://a.com/de/1", None, None)], "page_id long, url string, html string, host string")
+    df = df.selectExpr("*", "host AS node", "host AS rule", "1 AS component", "2 AS blocked")
+    assert rows_of(urls.filter_urls(df), "page_id", "host", "verdict") == [(1, "a.com", "block")] * 2
+    assert urls.filter_urls(df.where("false")).collect() == []
