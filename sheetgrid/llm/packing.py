@@ -12,7 +12,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from sheetgrid.llm.common import plain, running, stored
 
 WINDOW = 1024
 END_ID = 0
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 600_000
 _CACHE_CHARS = 48
 
 
@@ -32,49 +35,41 @@ class Encoder:
     """Ids of texts by the `tokenizers` library, as little-endian 32-bit bytes.
 
     A byte-level BPE splits a text before any space that follows a character other than white
-    space, so the pieces between such spaces are encoded once and remembered. The memory
-    is cleared when it is full; long pieces are not remembered.
+    space, so the pieces between such spaces are encoded once and remembered. Memory has two
+    generations: a full one becomes the old one, from which pieces still in use move
+    over, and the old one is forgotten. Long pieces are not remembered.
     """
 
     def __init__(self, path: str):
-        import os
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.split = re.compile(r"(?<!\s) ").split
         self.odd = re.compile(r"\s ").search
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(t) if self.odd(t) else t.split(" ") for t in texts]
-        heads = self._encode([p[0] for p in parts])
-        wanted = set().union(*(p[1:] for p in parts)) - self.known.keys()
-        here: dict[str, bytes] = {}
-        if wanted:
-            wanted = list(wanted)
-            here = dict(zip(wanted, self._encode([" " + p for p in wanted])))
-            if len(self.known) + len(here) > _CACHE_ENTRIES:
-                # What these texts need and the memory has moves over before it is cleared.
-                here |= {p: self.known[p] for own in parts for p in own[1:] if p in self.known}
-                self.known = {}
-            else:
-                self.known |= {p: ids for p, ids in here.items() if len(p) <= _CACHE_CHARS}
-        get = (here | self.known).__getitem__ if here and not self.known else None
-        out = []
-        for head, own in zip(heads, parts):
-            if get is None:
-                known = self.known
-                ids = [known[p] if p in known else here[p] for p in own[1:]] if here else list(map(known.__getitem__, own[1:]))
-            else:
-                ids = list(map(get, own[1:]))
-            out.append(head + b"".join(ids))
+        heads = self._encode([own.pop(0) for own in parts])
+        known, old = self.known, self.old
+        wanted = set().union(*parts) - known.keys()
+        if old:
+            known.update((p, old[p]) for p in wanted & old.keys())
+            wanted -= known.keys()
+        wanted = list(wanted)
+        known.update(zip(wanted, self._encode([" " + p for p in wanted])))
+        out = [head + b"".join(map(known.__getitem__, own)) for head, own in zip(heads, parts)]
+        for p in wanted:
+            if len(p) > _CACHE_CHARS:
+                del known[p]
+        if len(known) > _CACHE_ENTRIES:
+            self.known, self.old = {}, known
         return out
 
 
