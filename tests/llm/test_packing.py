@@ -97,7 +97,7 @@ def test_plan_uses_every_tail_once(seed):
     assert used == Counter(histogram)
     # No two tails over half a window share one.
     least = max(total / 1024, sum(k for n, k in histogram.items() if n > 512))
-    assert sum(repeats for _, repeats in packing.plan_patterns(histogram, 1024)) <= 1.05 * least + 1
+    assert sum(repeats for _, repeats in packing.plan_patterns(histogram, 1024)) <= 1.08 * least + 1
 
 
 def test_least_squares_meets_counts():
