@@ -68,20 +68,3 @@ def join_by_block(
         .join(spread, [*SHEET_KEYS, *on, BLOCK])
         .drop(BLOCK)
     )
-
-
-def join_salted(
-    rows: DataFrame, facts: DataFrame, on: list[str], salt: Column, salts: int = 8
-) -> DataFrame:
-    """Inner-join on `on`, cutting the rows of each key into `salts` parts.
-
-    `facts`, the side that is repeated, has one record per file or block.
-    """
-    spread = facts.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return (
-        rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
-        .join(spread, [*on, "_salt"])
-        .drop("_salt")
-    )

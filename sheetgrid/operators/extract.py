@@ -18,7 +18,6 @@ from sheetgrid.functions.blocks import (
     block_of,
     blocks_of_sheets,
     join_by_block,
-    join_salted,
     sheet_blocks,
     spread_facts,
 )
@@ -208,24 +207,45 @@ def _below(
 ) -> DataFrame:
     """Every non-blank cell under a label, once per label above it.
 
-    Each label is sent to the blocks of its sheet from its own on and meets
-    cells of its column only, so all joined pairs are results except in the
-    label's own block. The labels of a sheet are salted on the way.
+    Whole rows meet the columns that have labels above in their sheet and block, so rows of sheets
+    without a label go no further and only cells of such columns are unpacked. A cell then
+    meets the labels of its column, cut by the block they stand in: a key is one block of
+    cells and one block of labels at most, however many a column has.
     """
-    place = F.struct("row", "col")
-    labels = (
-        join_salted(hits, blocks, [*SHEET_KEYS, *on], place)
-        .where(F.col(BLOCK) >= block_of(F.col("row"), block_rows))
-        .select(*SHEET_KEYS, BLOCK, "col", F.col("row").alias("_label_row"), *TAGS, "label")
+    keys = [*SHEET_KEYS, BLOCK]
+    hits = hits.withColumn("_from", block_of(F.col("row"), block_rows))
+    # From each block with labels to the blocks of its sheet from there on: a few records.
+    reach = (
+        hits.select(*SHEET_KEYS, *on, "_from")
+        .distinct()
+        .join(blocks, [*SHEET_KEYS, *on])
+        .where(F.col(BLOCK) >= F.col("_from"))
+    )
+    labels = hits.join(reach, [*SHEET_KEYS, *on, "_from"]).select(
+        *keys, "col", "_from", F.col("row").alias("_label_row"), *TAGS, "label"
+    )
+    spots = (
+        labels.select(*keys, "col", "_from")
+        .distinct()
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("col", "_from")).alias("_spots"))
+    )
+    under = F.flatten(
+        F.transform(
+            F.filter("cells", lambda c: is_not_blank(c["value"])),
+            lambda c: F.transform(
+                F.filter("_spots", lambda s: s["col"] == c["col"]),
+                lambda s: F.struct(s["col"], s["_from"], c["value"]),
+            ),
+        )
     )
     values = (
-        pin_cells(grid)
-        .select(*SHEET_KEYS, "row", F.inline("cells"))
-        .where(is_not_blank(F.col("value")))
-        .select(*SHEET_KEYS, block_of(F.col("row"), block_rows).alias(BLOCK), "row", "col", "value")
+        grid.select(*SHEET_KEYS, block_of(F.col("row"), block_rows).alias(BLOCK), "row", "cells")
+        .join(spots, keys)
+        .select(*keys, "row", F.inline(under).alias("col", "_from", "value"))
     )
     return (
-        values.join(labels, [*SHEET_KEYS, "col", BLOCK])
+        values.join(labels, [*keys, "col", "_from"])
         .where(F.col("row") > F.col("_label_row"))
         .select(_record(F.col("value"), F.col("row"), F.col("col")))
     )
@@ -261,15 +281,19 @@ def _after(
 ) -> DataFrame:
     reach = spread_facts(anchors, blocks, F.col("anchor_row") + 1, on, block_rows)
     rows = grid.select(
-        *SHEET_KEYS,
-        block_of(F.col("row"), block_rows).alias(BLOCK),
-        "row",
-        computed_once(row_as_map("cells")).alias("cells"),
-    ).where(F.size("cells") > 0)
+        *SHEET_KEYS, block_of(F.col("row"), block_rows).alias(BLOCK), "row", "cells"
+    )
+    # Maps are made of the rows that are found, not of those looked at.
     return (
         rows.join(reach, [*SHEET_KEYS, BLOCK])
         .where(F.col("row") > F.col("anchor_row"))
-        .select(*SHEET_KEYS, *TAGS, (F.col("row") + 1).alias("row"), "cells")
+        .select(
+            *SHEET_KEYS,
+            *TAGS,
+            (F.col("row") + 1).alias("row"),
+            computed_once(row_as_map("cells")).alias("cells"),
+        )
+        .where(F.size("cells") > 0)
     )
 
 
@@ -355,7 +379,7 @@ def extract(
         blocks = blocks_of_sheets(sheets, block_rows)
     if routes is not None:
         owners = routes.select("source_file", "template")
-        blocks = join_salted(blocks, owners, ["source_file"], F.struct("sheet_name", BLOCK))
+        blocks = blocks.join(owners, "source_file")
         on = ("template",)
 
     def owned(hits: DataFrame) -> DataFrame:

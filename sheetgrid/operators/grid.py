@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,42 +89,49 @@ def find_anchor(grid: DataFrame, keywords: Sequence[str], max_rows: int = 20) ->
     )
 
 
+def unique_names(names: Sequence[str]) -> list[str]:
+    """Repeats become `<name>.<k>`, with the smallest k from 1 that no name before has."""
+    used: set[str] = set()
+    tried: dict[str, int] = {}
+    out = []
+    for name in names:
+        if name in used:
+            k = tried.get(name, 1)
+            while f"{name}.{k}" in used:
+                k += 1
+            tried[name] = k + 1
+            name = f"{name}.{k}"
+        used.add(name)
+        out.append(name)
+    return out
+
+
+def _number_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for headers in batches:
+        headers["_names"] = headers["_names"].map(unique_names)
+        yield headers
+
+
 def _header_names(header: DataFrame) -> DataFrame:
-    """Names by column: stripped, blanks as `Unnamed: <i>`, repeats as `<name>.<k>`.
+    """Names by column: stripped, blanks as `Unnamed: <i>`, repeats numbered until unique.
 
-    `header` is one row per sheet. The result holds a dense array, so that
-    `names[col]` is a constant-time look-up.
+    `header` is one row per sheet, and the names are made within it. The result holds a
+    dense array, so that `names[col]` is a constant-time look-up.
     """
-    cell = F.col("_cell")
-    before = F.coalesce(F.get("cells", F.col("_pos") - 1)["col"], F.lit(-1))
-    text = F.when(F.col("_col") == cell["col"], strip(cell["value"]))
-    named = (
-        header.select(*SHEET_KEYS, "cells", F.posexplode("cells").alias("_pos", "_cell"))
-        .select(*SHEET_KEYS, "_cell", before.alias("_before"))
-        .withColumn("_col", F.explode(F.sequence(F.col("_before") + 1, cell["col"])))
-        .withColumn("_text", text)
-        .select(
-            *SHEET_KEYS,
-            "_col",
-            F.when(is_not_blank(F.col("_text")), F.col("_text"))
-            .otherwise(F.concat(F.lit("Unnamed: "), F.col("_col")))
-            .alias("_name"),
-        )
-    )
-    # A second round separates a numbered repeat from a cell with that very text.
-    for _ in range(2):
-        repeat = F.row_number().over(
-            Window.partitionBy(*SHEET_KEYS, "_name").orderBy("_col")
-        )
-        named = named.withColumn("_k", repeat - 1).withColumn(
-            "_name",
-            F.when(F.col("_k") == 0, F.col("_name")).otherwise(
-                F.concat_ws(".", "_name", "_k")
-            ),
+    unnamed = lambda i: F.concat(F.lit("Unnamed: "), i.cast("string"))
+
+    def up_to(c: Column, i: Column) -> Column:
+        # The gap before a cell, then the cell.
+        before = F.coalesce(F.get("cells", i - 1)["col"], F.lit(-1))
+        gap = F.transform(
+            F.filter(F.sequence(before, c["col"]), lambda k: (k > before) & (k < c["col"])), unnamed
         )
-    return named.groupBy(*SHEET_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("_col", "_name")))["_name"].alias("_names")
-    )
+        text = strip(c["value"])
+        return F.concat(gap, F.array(F.when(is_not_blank(text), text).otherwise(unnamed(c["col"]))))
+
+    dense = F.flatten(F.transform("cells", up_to))
+    names = header.select(*SHEET_KEYS, dense.alias("_names"))
+    return names.mapInPandas(_number_repeats, names.schema)
 
 
 def _header_position(header_row: int, skip_rows: Sequence[int], header_compat: bool) -> int:
@@ -159,12 +167,19 @@ def promote_header(
     if skip_rows:
         data = data.where(~F.col("row").isin(*skip_rows))
 
-    def entry(c: Column) -> Column:
-        name = F.coalesce(
-            F.get("_names", c["col"]),
-            F.concat(F.lit("Unnamed: "), c["col"].cast("string")),
+    names = F.coalesce("_names", F.array().cast("array<string>"))
+
+    def beyond(c: Column) -> Column:
+        # A column past the header; its name may stand in the header by chance.
+        name = F.concat(F.lit("Unnamed: "), c["col"].cast("string"))
+        numbered = F.transform(
+            F.sequence(F.lit(1), F.size(names) + 1), lambda k: F.concat_ws(".", name, k)
         )
-        return F.struct(name, c["value"])
+        free = F.filter(numbered, lambda n: ~F.array_contains(names, n))
+        return F.when(F.array_contains(names, name), F.get(free, F.lit(0))).otherwise(name)
+
+    def entry(c: Column) -> Column:
+        return F.struct(F.coalesce(F.get(names, c["col"]), beyond(c)), c["value"])
 
     table = join_by_block(data, spread, block_rows=block_rows).select(
         *SHEET_KEYS,

@@ -301,8 +301,12 @@ def check_schema(df: DataFrame, schema: Schema, by: Sequence[str] = ()) -> DataF
         for rule, aggregate, where in (("min", F.min, "below minimum"), ("max", F.max, "above maximum")):
             if rule in limits:
                 name = f"_{rule}_{len(aggregates)}"
-                aggregates.append(aggregate(_field(fields[column])).alias(name))
                 limit = limits[rule]
+                value = _field(fields[column])
+                if isinstance(fields[column].dataType, T.StringType) and not isinstance(limit, str):
+                    # Cell text meets a number: text that is none has no place in the order.
+                    value = value.try_cast("double")
+                aggregates.append(aggregate(value).alias(name))
                 outside = F.col(name) < F.lit(limit) if rule == "min" else F.col(name) > F.lit(limit)
                 found.append(
                     _violation(
@@ -367,12 +371,16 @@ def validate(
     found = check_schema(df, schema, by)
     if expected is None:
         return found
-    present = df.select(*by).distinct()
+    return found.unionByName(empty_datasets(expected, df, by))
+
+
+def empty_datasets(expected: DataFrame, present: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A violation for each data set of `expected` without a record in `present`."""
     dataset = F.concat_ws("/", *by)
-    empty = (
+    return (
         expected.select(*by)
         .distinct()
-        .join(present, list(by), "left_anti")
+        .join(present.select(*by).distinct(), list(by), "left_anti")
         .select(
             dataset.alias("dataset"),
             F.lit(None).cast("string").alias("column"),
@@ -382,7 +390,6 @@ def validate(
             F.concat(F.lit("Data set "), dataset, F.lit(" is empty")).alias("message"),
         )
     )
-    return found.unionByName(empty)
 
 
 def missing_columns(grid: DataFrame, required: Sequence[str], header_row: int = 0) -> DataFrame:

@@ -70,3 +70,21 @@ def test_stored_templates_are_read_without_a_join(spark, tmp_path):
     text = plan(ex.extract(books.grid, [SALES]).records)
     assert "Join" not in text and "template#" in text.split("PartitionFilters:")[1].split("]")[0]
     assert ex.extract(books.grid, BUILT_IN, sheets=books.sheets).records.count() > 0
+
+
+def test_maps_are_made_of_rows_found_after_the_anchor(spark, tmp_path):
+    text = plan(ex.after(bronze(spark, tmp_path), ["FECHA"]))
+    assert text.index("map_from_entries") < text.index("Join")
+
+
+def test_cells_are_unpacked_below_labels_only(spark, tmp_path):
+    """Whole rows meet the columns with labels; cells are keyed by the labels' block, too."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(ex.below(bronze(spark, tmp_path), ["FECHA"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [line for line in text.splitlines() if "Join" in line]
+    assert "_from" in lines[0] and "col" in lines[0]
+    unpack = next(line for line in text.splitlines() if "Generate" in line and "_spots" in line)
+    assert text.index(lines[0]) < text.index(unpack) < text.index(lines[1])

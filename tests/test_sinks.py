@@ -84,7 +84,7 @@ def test_catalog_tables_fail_replace_append(spark):
     write_table(df, "t_modes")
     assert spark.table("t_modes").count() == 3
     info = table_info(spark, "t_modes").collect()
-    assert [tuple(r) for r in info] == [("t_modes", "id", "bigint", False, 3)]
+    assert [tuple(r) for r in info] == [("t_modes", "id", "bigint", False, None, 3)]
     with pytest.raises(ValueError):
         write_table(df, "t_modes", if_exists="merge")
 

@@ -23,23 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a table whose files give fewer tasks than there are cores.
-
-    A table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
-        base = tempfile.mkdtemp(prefix="sheetgrid-")  # a session without a shared folder
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sheetgrid-")  # one machine, and nothing said
     return f"{base.rstrip('/')}/sheetgrid/{uuid.uuid4().hex}"
 
 
@@ -52,7 +44,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def document_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a sheet: line = row, word = column."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return text_to_grid(documents, "text", "doc_id", "lang")
 
 
@@ -63,7 +55,7 @@ lines AS (
          unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS "row"
   FROM documents),
-g AS (
+g AS MATERIALIZED (
   SELECT * FROM (
     SELECT source_file, sheet_name, "row",
            generate_subscripts(string_split(line, ' '), 1) - 1 AS col,
@@ -257,7 +249,7 @@ def form_grid(spark: SparkSession, sf_dir: str, form: Form) -> DataFrame:
     grid = None
     for part in form.parts:
         names = [n for n in TABLES if "{" + n + "}" in part.source]
-        source = spark.sql(part.source, **{n: spread(table(spark, sf_dir, n)) for n in names})
+        source = spark.sql(part.source, **{n: table(spark, sf_dir, n) for n in names})
         rows = F.array(
             *[
                 F.struct(
@@ -291,7 +283,7 @@ def form_cells_sql(form: Form) -> str:
                     f" {text} AS value FROM ({source})"
                 )
     union = "\nUNION ALL ".join(selects)
-    return f"g AS (SELECT * FROM ({union}) WHERE value IS NOT NULL AND value <> '')"
+    return f"g AS MATERIALIZED (SELECT * FROM ({union}) WHERE value IS NOT NULL AND value <> '')"
 
 
 def pack_workbooks(grid: DataFrame) -> DataFrame:
@@ -318,15 +310,19 @@ def pack_workbooks(grid: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write (path, content) records as files; tasks may be repeated safely."""
+    """Write (path, content) records as files; tasks may be repeated safely.
+
+    `folder` without a scheme is a folder of this machine and needs a session on it alone.
+    """
+    if "://" not in folder:
+        if not files.sparkSession.sparkContext.master.startswith("local["):
+            raise ValueError(f"{folder} has no scheme: every executor would write to its own disk")
+        folder = f"file://{folder.removeprefix('file:')}"
 
     def write(rows) -> None:
         from pyarrow import fs
 
-        if "://" in folder:
-            filesystem, base = fs.FileSystem.from_uri(folder)
-        else:
-            filesystem, base = fs.LocalFileSystem(), folder.removeprefix("file:")
+        filesystem, base = fs.FileSystem.from_uri(folder)
         filesystem.create_dir(base, recursive=True)
         for row in rows:
             with filesystem.open_output_stream(f"{base}/{row['path']}") as stream:

@@ -220,7 +220,9 @@ ORACLES = {
     "route_forms": _forms_sql(
         lambda t: f"SELECT DISTINCT source_file, '{t.name}' AS template FROM g"
     ),
-    "routed_extract": _forms_sql(lambda t: sql.of_rules(t.rules, t.name)),
+    "routed_extract": _forms_sql(
+        lambda t: sql.of_rules([r for rules in sql.LITERAL[t.name].values() for r in rules], t.name)
+    ),
     "routed_row_maps": "\nUNION ALL ".join(
         f"SELECT source_file, sheet_name, '{t.name}' AS template, '{r.data_type}' AS data_type,"
         f' "row", "key", value FROM (WITH {form_cells_sql(FORMS[t.name])} {sql.entries(r)})'
@@ -230,10 +232,9 @@ ORACLES = {
     ),
 }
 
-# One query per built-in extractor.
+# One query per built-in extractor; the SQL has its own keywords.
 for _template in (SDM, QUOTATION, BOM, SALES):
-    for _data_type in dict.fromkeys(r.data_type for r in _template.rules):
-        _rules = [r for r in _template.rules if r.data_type == _data_type]
+    for _data_type, _rules in sql.LITERAL[_template.name].items():
         _name = f"{_template.name}_{_data_type}"
         if _rules[0].shape == AFTER:
             QUERIES[_name] = partial(_template_rows, _template, _data_type)

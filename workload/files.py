@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetgrid.functions.text import is_not_blank
 from sheetgrid.operators.extract import as_table
 from sheetgrid.plans.pipeline import process_folder
-from sheetgrid.plans.rules import QUOTATION, Rule
+from sheetgrid.plans.rules import BUILT_IN, QUOTATION, Rule, Schema
+from sheetgrid.sinks.names import clean_name
 from sheetgrid.sinks.parquet import compact, merge_parquet, write_parquet
 from sheetgrid.sinks.tables import table_info, write_table
 from sheetgrid.sources.parquet_files import footer_inventory, parquet_health
@@ -31,7 +33,7 @@ from workload.shapes_sql import records
 
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    orders = table(spark, sf_dir, "orders").drop("o_totalprice")
+    orders = table(spark, sf_dir, "orders")
     write_parquet(orders, path, "zstd", partition_by=["o_orderstatus"])
     return spark.read.parquet(path).select(*orders.columns)
 
@@ -46,18 +48,23 @@ def merge_parquet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(*[F.col(c).cast("string").alias(c) for c in merged.columns])
 
 
-def compact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and the largest row group after a rewrite, checked from the footers."""
+def compact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows after a rewrite in row groups of 1,000, with what the rewrite did to the files."""
     path = scratch(spark)
     table(spark, sf_dir, "lineitem").repartition(16).write.parquet(f"{path}/small")
-    compact(spark, f"{path}/small", f"{path}/large", row_group_size=100_000)
-    return footer_inventory(spark, f"{path}/large").agg(
-        F.sum("num_rows").alias("num_rows"),
-        F.max("num_columns").alias("num_columns"),
-        F.bool_and(F.col("num_row_groups") >= F.ceil(F.col("num_rows") / 100_000)).alias(
-            "row_groups_bounded"
-        ),
+    compact(spark, f"{path}/small", f"{path}/large", row_group_size=1_000)
+    count = lambda name: F.count(F.lit(1)).alias(name)
+    files = {
+        name: footer_inventory(spark, f"{path}/{name}").agg(
+            count("files"), F.sum("num_rows").alias("rows"), F.sum("num_row_groups").alias("groups")
+        )
+        for name in ("small", "large")
+    }
+    facts = files["small"].select(F.col("files").alias("before")).crossJoin(files["large"]).select(
+        (F.col("files") < F.col("before")).alias("fewer_files"),
+        (F.col("groups") >= F.ceil(F.col("rows") / 1_000)).alias("groups_bounded"),
     )
+    return spark.read.parquet(f"{path}/large").crossJoin(F.broadcast(facts))  # one record
 
 
 def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +116,7 @@ def if_exists_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_info_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = _catalog_table()
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    write_table(orders, name, path=scratch(spark))
+    write_table(table(spark, sf_dir, "orders"), name, path=scratch(spark))
     return table_info(spark, name).drop("table_name")
 
 
@@ -162,12 +168,10 @@ def folder_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same folder as a stream, a few files per micro-batch."""
     path = _workbook_folder(spark, sf_dir)
-    query = stream_workbooks(
+    stream_workbooks(
         spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", files_per_batch=20
-    )
-    query.awaitTermination()
-    landed = spark.read.parquet(f"{path}/out/records")
-    return landed.select(
+    ).awaitTermination()
+    records = spark.read.parquet(f"{path}/out/records").select(
         _book_name().alias("source_file"),
         "sheet_name",
         "template",
@@ -176,13 +180,68 @@ def folder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         "row",
         "column",
-    ).where(is_not_blank(F.col("value")))
+    )
+    cells = _table_cells(spark.read.parquet(f"{path}/out/tables"))
+    return records.unionByName(cells.withColumn("column", F.lit(0)))
+
+
+def _table_cells(tables: DataFrame) -> DataFrame:
+    return tables.select(
+        _book_name().alias("source_file"),
+        "sheet_name",
+        F.lit("generic").alias("template"),
+        F.lit("table").alias("data_type"),
+        F.explode("fields").alias("label", "value"),
+        (F.col("row") + 1).alias("row"),
+    )
+
+
+def folder_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the plain workbooks of the folder, as the pipeline lands them."""
+    path = _workbook_folder(spark, sf_dir)
+    process_folder(spark, f"{path}/in", f"{path}/out")
+    return _table_cells(spark.read.parquet(f"{path}/out/tables"))
+
+
+def folder_tables_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the table sink: one table with a column per header for sheets of a name."""
+    path = _workbook_folder(spark, sf_dir)
+    segments = [r[0] for r in table(spark, sf_dir, "customer").select("c_mktsegment").distinct().collect()]
+    name = _catalog_table()
+    process_folder(
+        spark,
+        f"{path}/in",
+        f"{path}/out",
+        "database",
+        {
+            "names": {n: f"{name}_{n}" for n in [*_extract_names(), "generic_table"]},
+            "sheet_tables": {s: f"{name}_{clean_name(s)}" for s in segments},
+        },
+    )
+    wide = [spark.table(f"{name}_{clean_name(s)}") for s in segments]
+    return reduce(DataFrame.unionByName, wide).withColumn("source_file", _book_name())
+
+
+def _extract_names() -> list[str]:
+    return [clean_name(f"{t.name}_{r.data_type}") for t in BUILT_IN for r in t.rules]
+
+
+def folder_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of a schema that the plain workbooks break, counted per workbook."""
+    path = _workbook_folder(spark, sf_dir)
+    schema = Schema(("Key", "Phone"), {"Nation": "text"}, {"Key": {"max": 1000}, "Nation": {"unique": True}})
+    templates = tuple(replace(t, schema=schema) if t.any_file else t for t in BUILT_IN)
+    process_folder(spark, f"{path}/in", f"{path}/out", templates=templates)
+    found = spark.read.parquet(f"{path}/out/violations").where("dataset LIKE '%/generic/table'")
+    return found.select(
+        F.regexp_extract("dataset", "([^/]+)/generic/table$", 1).alias("source_file"), "column", "rule", "actual"
+    )
 
 
 QUERIES = {
     "parquet_roundtrip": parquet_roundtrip,
     "merge_parquet": merge_parquet_files,
-    "compact_counts": compact_counts,
+    "compact_counts": compact_rows,
     "footer_inventory": footers,
     "parquet_health": health,
     "if_exists_append": if_exists_append,
@@ -190,6 +249,9 @@ QUERIES = {
     "folder_audit": folder_audit,
     "folder_extract": folder_extract,
     "folder_stream": folder_stream,
+    "folder_tables": folder_tables,
+    "folder_tables_sink": folder_tables_sink,
+    "folder_violations": folder_violations,
 }
 
 _quotes = f"WITH {form_cells_sql(QUOTATION_FORM)}\n"
@@ -204,11 +266,16 @@ def _quote_records(rule: Rule) -> str:
     FROM ({records(rule)})"""
 
 
+_customer_cells = """SELECT 'customers_' || cast(c_custkey // 500 AS varchar) || '.xlsx' AS source_file,
+      c_mktsegment AS sheet_name, 'generic' AS template, 'table' AS data_type, label, value,
+      cast(c_custkey % 500 + 2 AS bigint) AS "row"
+    FROM (SELECT c_custkey, c_mktsegment, 'Key' AS label, cast(c_custkey AS varchar) AS value FROM customer
+      UNION ALL SELECT c_custkey, c_mktsegment, 'Name', c_name FROM customer
+      UNION ALL SELECT c_custkey, c_mktsegment, 'Nation', cast(c_nationkey AS varchar) FROM customer)"""
 _quote_union = "\nUNION ALL ".join(_quote_records(r) for r in QUOTATION.rules)
 
 ORACLES = {
-    "parquet_roundtrip": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate,"
-    " o_orderpriority FROM orders",
+    "parquet_roundtrip": "SELECT * FROM orders",
     "merge_parquet": """
     SELECT cast(n_nationkey AS varchar) AS n_nationkey, n_name,
       cast(n_regionkey AS varchar) AS n_regionkey, cast(r_regionkey AS varchar) AS r_regionkey,
@@ -216,8 +283,7 @@ ORACLES = {
       cast(toxic AS varchar) AS toxic
     FROM (SELECT * FROM nation UNION ALL BY NAME SELECT * FROM region
           UNION ALL BY NAME SELECT * FROM labels)""",
-    "compact_counts": "SELECT count(*) AS num_rows, 11 AS num_columns,"
-    " true AS row_groups_bounded FROM lineitem",
+    "compact_counts": "SELECT *, true AS fewer_files, true AS groups_bounded FROM lineitem",
     "footer_inventory": "\nUNION ALL ".join(
         f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS num_rows,"
         f" (SELECT cast(count(*) AS integer) FROM (DESCRIBE {t})) AS num_columns,"
@@ -229,8 +295,9 @@ ORACLES = {
     FROM orders GROUP BY o_orderpriority""",
     "if_exists_append": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
       AS order_date, 2 * count(*) AS copies FROM orders GROUP BY ALL""",
-    "table_info": """SELECT c.name, c.type, false AS not_null, n.row_count
-    FROM (VALUES ('o_orderkey', 'bigint'), ('o_orderdate', 'string')) c(name, type)
+    "table_info": """SELECT c.name, c.type, false AS not_null, cast(NULL AS varchar) AS "default", n.row_count
+    FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'),
+      ('o_totalprice', 'double'), ('o_orderdate', 'string'), ('o_orderpriority', 'string')) c(name, type)
     CROSS JOIN (SELECT count(*) AS row_count FROM orders) n""",
     "folder_audit": _quotes
     + f""", q AS ({_quote_union})
@@ -245,5 +312,21 @@ ORACLES = {
     + f"""SELECT {_book} AS source_file, 'Hoja ' || cast(cast({_number} AS bigint) % 500 AS varchar) AS sheet_name,
       label AS field_type, value AS client_value, "row", "column"
     FROM ({records(_client)})""",
-    "folder_stream": _quotes + _quote_union,
+    "folder_stream": _quotes
+    + f"""SELECT source_file, sheet_name, template, data_type, label, value, "row", "column"
+    FROM ({_quote_union}) UNION ALL BY NAME SELECT *, 0 AS "column" FROM ({_customer_cells})""",
+    "folder_tables": _customer_cells,
+    "folder_tables_sink": """SELECT 'customers_' || cast(c_custkey // 500 AS varchar) || '.xlsx' AS source_file,
+      c_mktsegment AS sheet_name, c_custkey % 500 + 1 AS "row", cast(c_custkey AS varchar) AS "key",
+      c_name AS "name", cast(c_nationkey AS varchar) AS nation FROM customer""",
+    "folder_violations": """
+    WITH b AS (SELECT 'customers_' || cast(c_custkey // 500 AS varchar) || '.xlsx' AS source_file,
+                 c_custkey, c_nationkey FROM customer),
+    n AS (SELECT source_file, max(k) AS k FROM (SELECT source_file, count(*) AS k FROM b
+            GROUP BY source_file, c_nationkey) GROUP BY source_file)
+    SELECT DISTINCT source_file, 'Phone' AS "column", 'required' AS rule, cast(NULL AS varchar) AS actual FROM b
+    UNION ALL SELECT DISTINCT source_file, 'Nation', 'type', 'numeric' FROM b
+    UNION ALL SELECT source_file, 'Key', 'max', cast(cast(max(c_custkey) AS double) AS varchar) FROM b
+      GROUP BY source_file HAVING max(c_custkey) > 1000
+    UNION ALL SELECT source_file, 'Nation', 'unique', cast(k AS varchar) || ' copies' FROM n WHERE k > 1""",
 }

@@ -182,7 +182,7 @@ def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xlsx_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = split_parsed(parse_workbooks(pack_workbooks(customer_blocks(spark, sf_dir))))
-    return books.sheets.drop("template")
+    return books.sheets.drop("template", "ok", "error")
 
 
 _CUSTOMER_CELLS = """
@@ -201,7 +201,11 @@ FROM (SELECT DISTINCT 'customers_' || cast(c_custkey // 500 AS varchar) || '.xls
 
 
 def _header_sql(header_row: int) -> str:
-    """Names of a header row, numbered on repeats in two rounds, on each cell below."""
+    """Names of a header row on each cell below.
+
+    A repeat counts the names like it; only where that meets another name are the names of
+    the sheet gone through one by one, each taking the first number that is free.
+    """
     return f"""
     , spans AS (SELECT source_file, sheet_name, max(col) AS last_col FROM g
                 WHERE "row" = {header_row} GROUP BY ALL),
@@ -210,18 +214,25 @@ def _header_sql(header_row: int) -> str:
              AS name
            FROM places p LEFT JOIN g h ON h.source_file = p.source_file
              AND h.sheet_name = p.sheet_name AND h.col = p.col AND h."row" = {header_row}),
-    n1 AS (SELECT source_file, sheet_name, col, CASE WHEN k = 0 THEN name
+    n1 AS (SELECT source_file, sheet_name, col, name AS plain, CASE WHEN k = 0 THEN name
              ELSE name || '.' || cast(k AS varchar) END AS name
            FROM (SELECT *, row_number() OVER (PARTITION BY source_file, sheet_name, name
                                               ORDER BY col) - 1 AS k FROM n0)),
-    n2 AS (SELECT source_file, sheet_name, col, CASE WHEN k = 0 THEN name
-             ELSE name || '.' || cast(k AS varchar) END AS name
-           FROM (SELECT *, row_number() OVER (PARTITION BY source_file, sheet_name, name
-                                              ORDER BY col) - 1 AS k FROM n1))
+    s1 AS (SELECT source_file, sheet_name, list(name ORDER BY col) AS names,
+             list(plain ORDER BY col) AS plain FROM n1 GROUP BY ALL),
+    n2 AS (SELECT source_file, sheet_name, CASE WHEN len(list_distinct(names)) = len(names)
+             THEN names ELSE list_reduce(list_transform(plain, lambda p: [p]), lambda used, p:
+               list_append(used, CASE WHEN NOT list_contains(used, p[1]) THEN p[1]
+                 ELSE list_filter(list_transform(range(1, len(used) + 2),
+                        lambda k: p[1] || '.' || cast(k AS varchar)),
+                      lambda c: NOT list_contains(used, c))[1] END)) END AS names
+           FROM s1)
     SELECT g.source_file, g.sheet_name, cast(g."row" AS bigint) AS "row",
-      coalesce(n2.name, 'Unnamed: ' || cast(g.col AS varchar)) AS name, g.value
+      coalesce(n2.names[g.col + 1],
+        CASE WHEN list_contains(n2.names, 'Unnamed: ' || cast(g.col AS varchar))
+          THEN 'Unnamed: ' || cast(g.col AS varchar) || '.1'
+          ELSE 'Unnamed: ' || cast(g.col AS varchar) END) AS name, g.value
     FROM g LEFT JOIN n2 ON n2.source_file = g.source_file AND n2.sheet_name = g.sheet_name
-      AND n2.col = g.col
     WHERE g."row" > {header_row}"""
 
 

@@ -25,7 +25,6 @@ from workload.data import (
     document_grid,
     form_cells_sql,
     form_grid,
-    spread,
     table,
 )
 
@@ -75,8 +74,8 @@ def detect_cell_types_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = profile(spread(table(spark, sf_dir, "orders")))
-    events = profile(spread(table(spark, sf_dir, "events").drop("value")))
+    orders = profile(table(spark, sf_dir, "orders"))
+    events = profile(table(spark, sf_dir, "events"))
     return (
         orders.withColumn("table_name", F.lit("orders"))
         .unionByName(events.withColumn("table_name", F.lit("events")))
@@ -86,7 +85,7 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile(spread(table(spark, sf_dir, "lineitem"))).drop("dtype")
+    return profile(table(spark, sf_dir, "lineitem")).drop("dtype")
 
 
 LINE_LIMITS = Schema(
@@ -109,7 +108,7 @@ def constraint_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def constraint_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of the orders table that is not unique, with its most copies."""
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     return duplicated_columns(orders, orders.columns)
 
 
@@ -137,7 +136,7 @@ ORDER_SCHEMA = Schema(
 
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A schema checked on each order status, with one expected status absent."""
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     expected = (
         orders.select(F.col("o_orderstatus"))
         .distinct()

@@ -6,6 +6,37 @@ from collections.abc import Sequence
 
 from sheetgrid.plans.rules import AFTER, BELOW, NEAR, SELF, Rule
 
+# What each extractor looks for, by template and data type: fixed values, written out here so that
+# a slip in the engine's own rules does not pass unnoticed.
+LITERAL = {
+    "sdm": {
+        "company_info": [Rule("company_info", SELF, ("INDUSTRIAL ACURA",), 10, "company_name")],
+        "dates": [Rule("dates", NEAR, ("FECHA",))],
+        "specifications": [Rule("specifications", AFTER, ("FECHA",), 20)],
+    },
+    "quotation": {
+        "company_info": [Rule("company_info", SELF, ("INDUSTRIAL ACURA",), 10, "company_name")],
+        "client_info": [Rule("client_info", NEAR, ("CLIENTE",))],
+        "quotation_details": [
+            Rule("quotation_details", SELF, ("FORMATO DE COTIZACIÓN",), None, "quotation_format"),
+            Rule("quotation_details", NEAR, ("FOLIO",), None, "folio", ("FORMATO DE COTIZACIÓN",)),
+        ],
+        "design_codes": [Rule("design_codes", NEAR, ("CÓDIGO DE DISEÑO", "CODIGO DE DISEÑO"), None, "design_code")],
+    },
+    "bom": {
+        "materials": [Rule("materials", AFTER, ("PART NUMBER", "PARTIDA"), 20)],
+        "quantities": [Rule("quantities", BELOW, ("CANTIDAD", "QTY", "QUANTITY"))],
+        "descriptions": [Rule("descriptions", BELOW, ("DESCRIPCIÓN", "DESCRIPTION", "DESCRIPCION"))],
+        "part_numbers": [Rule("part_numbers", BELOW, ("PART NUMBER", "PART NUMBER /", "NO. DE PARTIDA"))],
+    },
+    "sales": {
+        "client_info": [Rule("client_info", NEAR, ("NOMBRE DEL CLIENTE",))],
+        "project_info": [Rule("project_info", NEAR, ("NOMBRE DEL PROYECTO",))],
+        "dates": [Rule("dates", NEAR, ("FECHA REQUERIDA", "FECHA DE SOLICITUD", "FECHA DE COTIZACIÓN"))],
+        "vendor_info": [Rule("vendor_info", NEAR, ("NOMBRE DEL VENDEDOR",))],
+    },
+}
+
 KEYS = "source_file, sheet_name"
 RECORD = f'{KEYS}, label, value, "row", "column"'
 
