@@ -42,7 +42,11 @@ def test_stages_on_the_tables(spark):
     words = Counter()
     for r in mixed.collect():
         words[r["source"]] += size(r["text"])
-    assert all(abs(words[s] - r["target"]) <= 1 for s, r in aims.items())
+    longest = Counter()
+    for r in masked.collect():
+        longest[r["source"]] = max(longest[r["source"]], size(r["text"]))
+    # A source of a few long documents has no subset closer than half of one.
+    assert all(abs(words[s] - r["target"]) <= max(1, longest[s] / 2) for s, r in aims.items())
     assert max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
 
     padding, tokens = check(packed.collect(), [(r["doc_id"], r["text"]) for r in mixed.collect()])
