@@ -152,19 +152,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     )
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, component): a small node within two steps or so of each linked node.
-
-    Enough to tell most members of a component that they are connected. Where it does not,
-    a pair is compared that need not be.
-    """
-    a, b = F.col("a"), F.col("b")
-    both = links.select(F.explode(F.array(a, b)).alias("node"), F.least(a, b).alias("component"))
-    once = stored(both.groupBy("node").agg(F.min("component").alias("component")))
-    up = once.select(F.col("node").alias("component"), F.col("component").alias("next"))
-    return stored(once.join(up, "component").select("node", F.col("next").alias("component")))
-
-
 def near_duplicates(
     documents: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -209,44 +196,59 @@ def near_duplicates(
     )
     links = stored(confirm(pairs, texts, size, percent))
     tested = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    groups, quiet, turn = _labels(links), 0, 0
+    linked = stored(components(links))
+    groups = stored(
+        members.select("doc_id")
+        .distinct()
+        .join(linked, F.col("doc_id") == F.col("node"), "left")
+        .select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    )
+    quiet, turn = 0, 0
     while quiet < 2:
         turn += 1
-        at = members.join(groups, F.col("doc_id") == F.col("node"), "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
+        at = members.join(groups, "doc_id")
+        chosen = F.min_by(
+            F.struct(F.col("doc_id").alias("a"), F.col("component").alias("own")),
+            F.xxhash64("doc_id", F.lit(turn)),
         )
         open_ = stored(
             at.groupBy("bucket")
-            .agg(
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-                F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("component").alias("own")), F.xxhash64("doc_id", F.lit(turn))).alias("c"),
-            )
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), chosen.alias("c"))
             .where("low < high")
             .select("bucket", "c.*")
         )
+        if open_.isEmpty():
+            break
         tries = stored(
             at.join(open_, "bucket")
             .where("component <> own")
-            .select("a", F.col("doc_id").alias("b"), F.least("a", "doc_id").alias("lo"), F.greatest("a", "doc_id").alias("hi"))
+            .select(
+                "a",
+                F.col("doc_id").alias("b"),
+                "own",
+                "component",
+                F.least("a", "doc_id").alias("lo"),
+                F.greatest("a", "doc_id").alias("hi"),
+            )
             .distinct()
             .join(tested, ["lo", "hi"], "left_anti")
         )
-        if tries.isEmpty():
-            quiet += 1
-            if open_.isEmpty():
-                break
-            continue
         more = stored(confirm(tries.select("a", "b"), texts, size, percent))
         tested = tested.unionByName(tries.select("lo", "hi"))
         if more.isEmpty():
             quiet += 1
-        else:
-            quiet = 0
-            links = links.unionByName(more)
-            groups = _labels(links)
+            continue
+        quiet = 0
+        # Each of these links joins two components: only those are looked at.
+        joined = tries.join(more, ["a", "b"]).select(F.col("own").alias("a"), F.col("component").alias("b"))
+        merged = stored(components(joined).withColumnRenamed("component", "into"))
+        groups = stored(
+            groups.join(merged, F.col("component") == F.col("node"), "left").select(
+                "doc_id", F.coalesce("into", "component").alias("component")
+            )
+        )
     known = stored(
-        classes.join(stored(components(links)), F.col("doc_id") == F.col("node"), "left").select(
+        classes.join(groups, "doc_id", "left").select(
             "set_key", F.coalesce("component", "doc_id").alias("component_id")
         )
     )
