@@ -53,18 +53,17 @@ def compact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     table(spark, sf_dir, "lineitem").repartition(16).write.parquet(f"{path}/small")
     compact(spark, f"{path}/small", f"{path}/large", row_group_size=1_000)
-    count = lambda name: F.count(F.lit(1)).alias(name)
-    files = {
-        name: footer_inventory(spark, f"{path}/{name}").agg(
-            count("files"), F.sum("num_rows").alias("rows"), F.sum("num_row_groups").alias("groups")
-        )
+    before, after = (
+        footer_inventory(spark, f"{path}/{name}")
+        .agg(F.count(F.lit(1)).alias("files"), F.sum("num_rows").alias("rows"), F.sum("num_row_groups").alias("groups"))
+        .first()
         for name in ("small", "large")
-    }
-    facts = files["small"].select(F.col("files").alias("before")).crossJoin(files["large"]).select(
-        (F.col("files") < F.col("before")).alias("fewer_files"),
-        (F.col("groups") >= F.ceil(F.col("rows") / 1_000)).alias("groups_bounded"),
     )
-    return spark.read.parquet(f"{path}/large").crossJoin(F.broadcast(facts))  # one record
+    return spark.read.parquet(f"{path}/large").select(
+        "*",
+        F.lit(after["files"] < before["files"]).alias("fewer_files"),
+        F.lit(after["groups"] >= after["rows"] / 1_000).alias("groups_bounded"),
+    )
 
 
 def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
