@@ -221,14 +221,11 @@ def estimates(cells: DataFrame, steps: int = STEPS, prior: int = PRIOR) -> DataF
         params = _concentrate(cells, params)
     names = [c for c in params.columns if c != "g"]
     sizes = cells.groupBy("g").agg(F.sum("w").alias("w"))
-    overall = params.where("g = ''").select(*[F.col(c).alias(f"all_{c}") for c in names])
-    blend = lambda c: (F.col(c) * F.col("w") + F.col(f"all_{c}") * prior) / (F.col("w") + prior)
-    # `overall` is one record.
-    return stored(
-        _cholesky(
-            params.where("g <> ''").join(sizes, "g").join(F.broadcast(overall)).select("g", *[blend(c).alias(c) for c in names])
-        )
-    )
+    overall = params.where("g = ''").first()  # one record of numbers, or none without documents
+    whole = lambda c: F.lit(overall[c] if overall else None).cast("double")
+    blend = lambda c: (F.col(c) * F.col("w") + whole(c) * prior) / (F.col("w") + prior)
+    own = params.where("g <> ''").join(sizes, "g").select("g", *[blend(c).alias(c) for c in names])
+    return stored(_cholesky(own))
 
 
 def judge(documents: DataFrame) -> DataFrame:
