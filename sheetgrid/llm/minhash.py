@@ -209,7 +209,7 @@ def near_duplicates(
         at = members.join(groups, "doc_id")
         chosen = F.min_by(
             F.struct(F.col("doc_id").alias("a"), F.col("component").alias("own")),
-            F.xxhash64("doc_id", F.lit(turn)),
+            F.xxhash64("doc_id", "bucket", F.lit(turn)),
         )
         open_ = stored(
             at.groupBy("bucket")
