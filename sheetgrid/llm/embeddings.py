@@ -33,13 +33,17 @@ MISS = 0.01
 BLOCK = 2048
 
 
+def bucket_bits(n: int, window: int = WINDOW) -> int:
+    """Leading bits that leave about `window` of n evenly spread classes."""
+    return min(BITS, max(0, math.ceil(math.log2(max(n, 1) / window))))
+
+
 def passes_needed(n: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold has been neighbours with probability 1 - miss.
+    """Passes after which a pair at the threshold has shared a bucket with probability 1 - miss.
 
-    Among n sorted keys, vectors that agree in the first log2(n / window) bits stand
-    within a window; each bit agrees with probability 1 - angle / pi.
+    A bucket is the first `bucket_bits` bits; each agrees with probability 1 - angle / pi.
     """
-    bits = max(0.0, math.log2(max(n, 1) / window))
+    bits = bucket_bits(n, window)
     agree = (1 - math.acos(cosine) / math.pi) ** bits
     return max(1, math.ceil(math.log(miss) / math.log1p(-agree))) if agree < 1 else 1
 
@@ -78,7 +82,7 @@ def _normal(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.Record
         )
 
 
-def _keys(batches: Iterator[pa.RecordBatch], passes: int, dtype: str, seed: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], passes: int, dtype: str, seed: int, *carried: str) -> Iterator[pa.RecordBatch]:
     planes: dict[int, np.ndarray] = {}
     weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
     for batch in batches:
@@ -97,9 +101,9 @@ def _keys(batches: Iterator[pa.RecordBatch], passes: int, dtype: str, seed: int)
                         pa.array(keys),
                         part.column("vec_id"),
                         part.column("dims"),
-                        part.column("vec"),
+                        *[part.column(n) for n in carried],
                     ],
-                    ["pass", "key", "vec_id", "dims", "vec"],
+                    ["pass", "key", "vec_id", "dims", *carried],
                 )
 
 
@@ -123,9 +127,17 @@ class Forest:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], dtype: str, cosine: float, window: int) -> Iterator[pa.RecordBatch]:
-    """Links between rows at most `window` apart in a sorted stretch, as far as they connect anew."""
-    stretch = None
+    """Links between rows at most `window` apart in a sorted stretch, as far as they connect anew.
+
+    The first and the last row of the task come as (dims, pass, key): their buckets may go on elsewhere.
+    """
+    stretch, ends = None, []
     for batch in batches:
+        if len(batch):
+            place = [batch.column(n) for n in ("dims", "pass", "key")]
+            ends = [*ends[:1], tuple(x[len(batch) - 1].as_py() for x in place)]
+            if len(ends) == 1:
+                ends.insert(0, tuple(x[0].as_py() for x in place))
         group = batch.column("dims").to_numpy().astype(np.int64) << 32 | batch.column("pass").to_numpy()
         ids, vecs = batch.column("vec_id").to_numpy(), batch.column("vec")
         links: tuple[list, list] = ([], [])
@@ -149,9 +161,97 @@ def _neighbours(batches: Iterator[pa.RecordBatch], dtype: str, cosine: float, wi
                             links[0].append(own)
                             links[1].append(other)
                 tail, tail_ids = all_[-window:], all_ids[-window:]
+        none = pa.nulls(len(links[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(x, pa.int64()) for x in links], none.cast(pa.int32()), none.cast(pa.int32()), none],
+            ["a", "b", "dims", "pass", "key"],
+        )
+    if ends:
+        none, kinds = pa.nulls(2, pa.int64()), (pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [none, none, *[pa.array(x, k) for x, k in zip(zip(*ends), kinds)]], ["a", "b", "dims", "pass", "key"]
+        )
+
+
+def _across(batches: Iterator[pa.RecordBatch], dtype: str, cosine: float) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (dims, pass, bucket, block, query): links between the components of a block's
+    members, and of members and queries. Queries stream past the block."""
+    key = None
+    for batch in batches:
+        place = [batch.column(n).to_numpy() for n in ("dims", "pass", "bucket", "block")]
+        query = batch.column("query").to_numpy(zero_copy_only=False)
+        component, vecs = batch.column("component").to_numpy(), batch.column("vec")
+        links: tuple[list, list] = ([], [])
+        change = np.diff(query.astype(np.int8)) != 0
+        for x in place:
+            change |= np.diff(x) != 0
+        cuts = np.flatnonzero(change) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(query)] if len(query) else []):
+            own_key = tuple(int(x[begin]) for x in place)
+            if key != own_key:
+                key, forest = own_key, Forest()
+                units, labels = np.zeros((0, own_key[0])), np.zeros(0, np.int64)
+            for at in range(begin, end, 512):
+                to = min(end, at + 512)
+                new, own = _units(vecs.slice(at, to - at), own_key[0], dtype), component[at:to]
+                if not query[begin]:
+                    units, labels = np.concatenate([units, new]), np.concatenate([labels, own])
+                near = (new @ units.T >= cosine) & (own[:, None] != labels[None, :])
+                for i in np.flatnonzero(near.any(axis=1)):
+                    for other in np.unique(labels[near[i]]).tolist():
+                        if forest.join(int(own[i]), other):
+                            links[0].append(int(own[i]))
+                            links[1].append(other)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
 
+def _crowded(classes: DataFrame, buckets: DataFrame, groups: DataFrame, dtype: str, cosine: float, most_pairs: float) -> DataFrame | None:
+    """Links (a, b) of components inside `buckets` (dims, pass, bucket, vec_id, same), all of them; None if
+    that takes more than `most_pairs` comparisons."""
+    key = ["dims", "pass", "bucket"]
+    at = stored(
+        buckets.join(groups, F.col("vec_id") == F.col("node"), "left").select(
+            *key, "same", F.coalesce("component", "vec_id").alias("component")
+        )
+    )
+    open_ = stored(
+        at.groupBy(*key, "component")
+        .agg(F.count("*").alias("k"))
+        .groupBy(*key)
+        .agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main"))
+        .where("main.k < n")
+        .select(
+            *key,
+            F.col("main.component").alias("main"),
+            F.ceil((F.col("n") - F.col("main.k")) / BLOCK).cast("int").alias("blocks"),
+            ((F.col("n") - F.col("main.k")) * F.col("n")).cast("double").alias("pairs"),
+        )
+    )
+    if (open_.agg(F.sum("pairs")).first()[0] or 0) > most_pairs:
+        return None
+    salt = F.pmod(F.xxhash64("same"), "blocks").cast("int")
+    rows = at.join(open_, key).select(
+        *key,
+        "same",
+        "component",
+        # A member outside the largest component is in a block, and meets the blocks before it.
+        F.explode(
+            F.when(F.col("component") == F.col("main"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
+                F.sequence(F.lit(0), salt)
+            )
+        ).alias("block"),
+        F.when(F.col("component") == F.col("main"), -1).otherwise(salt).alias("home"),
+    )
+    return (
+        rows.withColumn("query", F.col("block") != F.col("home"))
+        .join(classes.select("same", "vec"), "same")
+        .select(*key, "block", "query", "component", "vec")
+        .repartition(*key, "block")
+        .sortWithinPartitions(*key, "block", "query")
+        .mapInArrow(lambda b: _across(b, dtype, cosine), "a long, b long")
+    )
+
+
 def _angles(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         angle = np.zeros(len(batch))
@@ -229,16 +329,38 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, window: int = WI
         .groupBy("same")
         .agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"), F.first("dims").alias("dims"), F.first("vec").alias("vec"))
     )
-    passes = passes_needed(classes.count(), cosine, window, miss)
-    found = (
+    n = classes.count()
+    passes, bits = passes_needed(n, cosine, window, miss), bucket_bits(n, window)
+    found = stored(
         classes.mapInArrow(
-            lambda b: _keys(b, passes, dtype, seed), "pass int, key long, vec_id long, dims int, vec binary"
+            lambda b: _keys(b, passes, dtype, seed, "vec"), "pass int, key long, vec_id long, dims int, vec binary"
         )
         .repartitionByRange("dims", "pass", "key", "vec_id")
         .sortWithinPartitions("dims", "pass", "key", "vec_id")
-        .mapInArrow(lambda b: _neighbours(b, dtype, cosine, window), "a long, b long")
+        .mapInArrow(lambda b: _neighbours(b, dtype, cosine, window), "a long, b long, dims int, pass int, key long")
+    )
+    links = found.where("a IS NOT NULL").select("a", "b")
+    groups = stored(components(links))
+    bucket = F.shiftright("key", BITS - bits).alias("bucket")
+    keyed = stored(
+        classes.mapInArrow(
+            lambda b: _keys(b, passes, dtype, seed, "same"), "pass int, key long, vec_id long, dims int, same binary"
+        ).select("dims", "pass", bucket, "vec_id", "same")
+    )
+    crowds = (
+        keyed.groupBy("dims", "pass", "bucket")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > window + 1)
+        .drop("n")
+        .unionByName(found.where("a IS NULL").select("dims", "pass", bucket))
+        .distinct()
     )
-    groups = stored(components(found))
+    all_pairs = classes.groupBy("dims").count().agg(F.sum(F.expr("double(count) * count"))).first()[0] or 0
+    more = _crowded(classes, keyed.join(crowds, ["dims", "pass", "bucket"]), groups, dtype, cosine, all_pairs)
+    if more is None:
+        whole = classes.select("dims", F.lit(0).alias("pass"), F.lit(0).cast("long").alias("bucket"), "vec_id", "same")
+        more = _crowded(classes, whole, groups, dtype, cosine, math.inf)
+    groups = stored(components(links.unionByName(more)))
     members = stored(
         classes.join(groups, F.col("vec_id") == F.col("node")).select("component", "vec_id", "size", "dims", "vec")
     )

@@ -75,6 +75,41 @@ def test_recall_at_the_threshold_does_not_fall_with_size():
         assert agree >= 1 or (1 - agree) ** passes <= 0.0101
 
 
+def test_recall_where_a_third_of_the_rows_is_crowded(spark):
+    rng = np.random.default_rng(6)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    n, dims = 2400, 256
+    spread = unit(rng.standard_normal((n, dims)))
+    middle = unit(rng.standard_normal(dims))
+    cone = math.sqrt(0.83) * middle + math.sqrt(0.17) * unit(rng.standard_normal((n // 3, dims)))
+    spread[: n // 3] = unit(cone)
+    for i in range(0, 400, 2):  # pairs of cosine 0.905 inside the cone
+        other = unit(spread[i + 1] - (spread[i + 1] @ spread[i]) * spread[i])
+        spread[i + 1] = 0.905 * spread[i] + math.sqrt(1 - 0.905**2) * other
+    data = [(i, v.tolist()) for i, v in enumerate(spread)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5)
+    want = dict((i, c) for i, _, c, _ in brute_fast(spread))
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_vectors(df, window=8).collect()}
+    pairs = [i for i in want if want[i] != i]
+    assert len(pairs) >= 200
+    assert sum(got[i] == want[i] for i in pairs) >= 0.98 * len(pairs)
+    assert all(got[i] in (i, want[i]) for i in want)
+
+
+def brute_fast(units):
+    near = units @ units.T >= 0.9
+    label = np.arange(len(units))
+    for _ in range(len(units)):
+        new = np.where(near, label[None, :], len(units)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    return [(i, int(near[i].sum()) - 1, int(label[i]), label[i] == i) for i in range(len(units))]
+
+
 def test_awkward_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     rows = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 1), (2, None, None), (3, [1.0, 2.0], 5)]
