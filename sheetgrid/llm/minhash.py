@@ -9,7 +9,11 @@
   probability (1 - 0.75**4)**32, about 5e-6.
 * Candidates are stars: in a bucket each member is compared with one centre only, so
   a bucket of m classes gives m - 1 pairs. Buckets whose members are not all connected
-  afterwards get other centres, round by round, until two rounds in a row add no link.
+  afterwards get other centres, round by round, until a round adds no link.
+* What is still open then is compared exactly: in each bucket every member outside the largest
+  component with all members, in salted blocks. So each pair that shares a bucket is tested or
+  already connected. Where the buckets would take more comparisons than all pairs of their members,
+  all those pairs are compared.
 * Every candidate is confirmed on the full shingle sets. Texts are dealt by (centre, salt) with
   at most about 256 members each and streamed past the centre's set.
 """
@@ -26,12 +30,14 @@ from pyspark.sql import functions as F
 
 from sheetgrid.llm import rolling
 from sheetgrid.llm.common import components, plain, stored
+from sheetgrid.llm.embeddings import Forest
 
 WORDS = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
 PER_SALT = 256
+BLOCK = 1 << 19  # shingles
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -152,6 +158,156 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     )
 
 
+class _Block:
+    """Shingle sets, indexed for exact intersections with others: a matrix of the shingles that many of
+    the sets hold, lists of owners for the rest."""
+
+    def __init__(self, sets: list[np.ndarray], labels: list[int]):
+        self.labels, self.sizes = np.array(labels), np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.names, self.first, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
+        many = self.counts * 16 > len(sets)
+        self.column = np.where(many, np.cumsum(many) - 1, -1)
+        self.matrix = np.zeros((int(many.sum()), len(sets)), dtype=np.float32)
+        of = np.repeat(self.column, self.counts)
+        self.matrix[of[of >= 0], self.owners[of >= 0]] = 1
+
+    def overlaps(self, sets: list[np.ndarray]) -> np.ndarray:
+        """[set, member]: sizes of the intersections."""
+        held = np.zeros((len(sets), len(self.matrix)), dtype=np.float32)
+        rest = np.zeros((len(sets), len(self.sizes)), dtype=np.int64)
+        for i, own in enumerate(sets):
+            at = np.minimum(np.searchsorted(self.names, own), len(self.names) - 1)
+            at = at[self.names[at] == own]
+            column = self.column[at]
+            held[i, column[column >= 0]] = 1
+            at = at[column < 0]
+            n = self.counts[at]
+            if len(at):
+                places = np.arange(n.sum()) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
+                rest[i] = np.bincount(self.owners[places], minlength=len(self.sizes))
+        return rest + (held @ self.matrix).astype(np.int64)
+
+
+def _across(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (bucket, block, query): links between the components of a block's members, and
+    of members and queries. Queries stream past the block."""
+    key, block, forest = None, None, Forest()
+    sets: list[np.ndarray] = []
+    labels: list[int] = []
+
+    def meet(others: list[np.ndarray], theirs: list[int], links: tuple[list, list]) -> None:
+        step = max(1, min(64, (1 << 22) // max(len(block.matrix), len(block.sizes), 1)))
+        for at in range(0, len(others), step):
+            part, own = others[at : at + step], np.array(theirs[at : at + step])
+            both = block.overlaps(part)
+            union = np.array([len(x) for x in part])[:, None] + block.sizes[None, :] - both
+            near = (100 * both >= percent * union) & (own[:, None] != block.labels[None, :])
+            for i in np.flatnonzero(near.any(axis=1)):
+                for other in np.unique(block.labels[near[i]]).tolist():
+                    if forest.join(int(own[i]), other):
+                        links[0].append(int(own[i]))
+                        links[1].append(other)
+
+    def close(links: tuple[list, list]) -> None:
+        """The block is whole: its members meet each other."""
+        nonlocal block, sets, labels
+        if block is None and sets:
+            block = _Block(sets, labels)
+            meet(sets, labels, links)
+            sets, labels = [], []
+
+    for batch in batches:
+        place = list(zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()))
+        query, component = batch.column("query").to_pylist(), batch.column("component").to_pylist()
+        links: tuple[list, list] = ([], [])
+        for c in rolling.chunks(batch.column("text"), lower=True):
+            hashes, bounds = shingle_sets(c, size)
+            waiting: tuple[list, list] = ([], [])
+            for i in range(c.last - c.first):
+                row, own = c.first + i, hashes[bounds[i] : bounds[i + 1]]
+                if place[row] != key:
+                    if waiting[0]:
+                        meet(*waiting, links)
+                        waiting = ([], [])
+                    close(links)
+                    key, block, forest = place[row], None, Forest()
+                if query[row]:
+                    close(links)
+                    if block is not None:
+                        waiting[0].append(own)
+                        waiting[1].append(component[row])
+                else:
+                    sets.append(own.copy())
+                    labels.append(component[row])
+            if waiting[0]:
+                meet(*waiting, links)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+    links = ([], [])
+    close(links)
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+
+
+def rest(at: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of components whose members share a bucket: all of them. `at` has bucket, doc_id,
+    n_shingles and component; a bucket of two is taken as compared."""
+
+    def opened(rows: DataFrame) -> DataFrame:
+        return stored(
+            rows.groupBy("bucket", "component")
+            .agg(
+                F.count("*").alias("k"),
+                F.sum("n_shingles").alias("s"),
+                F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"),
+            )
+            .groupBy("bucket")
+            .agg(
+                F.sum("k").alias("n"),
+                F.sum("s").alias("s"),
+                F.sum("h").alias("h"),
+                F.max(F.struct("k", "component", "s")).alias("main"),
+            )
+            .where("main.k < n AND n > 2")
+            # Buckets of the same members count once.
+            .groupBy("n", "h")
+            .agg(F.min(F.struct("bucket", "main", "s")).alias("x"))
+            .select(
+                "x.bucket",
+                F.col("x.main.component").alias("main"),
+                (F.floor((F.col("x.s") - F.col("x.main.s")) / BLOCK) + 1).cast("int").alias("blocks"),
+                ((F.col("n") - F.col("x.main.k")) * F.col("n")).cast("double").alias("pairs"),
+            )
+        )
+
+    open_ = opened(at)
+    pairs = open_.agg(F.sum("pairs")).first()[0] or 0
+    members = at.join(open_.select("bucket"), "bucket").select("doc_id", "n_shingles", "component")
+    if pairs > float(members.select("doc_id").distinct().count()) ** 2:
+        at = stored(members.dropDuplicates(["doc_id"]).withColumn("bucket", F.lit(0).cast("long")))
+        open_ = opened(at)
+    salt = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
+    main = F.col("component") == F.col("main")
+    return (
+        at.join(open_, "bucket")
+        .select(
+            "bucket",
+            "doc_id",
+            "component",
+            F.when(main, -1).otherwise(salt).alias("home"),
+            # A member outside the largest component is in a block, and meets the blocks before it.
+            F.explode(F.sequence(F.lit(0), F.when(main, F.col("blocks") - 1).otherwise(salt))).alias("block"),
+        )
+        .withColumn("query", F.col("block") != F.col("home"))
+        .join(texts, "doc_id")
+        .select("bucket", "block", "query", "component", "text")
+        .repartition("bucket", "block")
+        .sortWithinPartitions("bucket", "block", "query")
+        .mapInArrow(lambda rows: _across(rows, size, percent), "a long, b long")
+    )
+
+
 def near_duplicates(
     documents: DataFrame, size: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -176,10 +332,10 @@ def near_duplicates(
     classes = stored(
         read.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"))
-        .select("set_key", "first.*", "bands")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .select("set_key", "first.*", "n_shingles", "bands")
     )
-    inside = classes.select("doc_id", F.explode("bands").alias("bucket"))
+    inside = classes.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     centres = stored(
         inside.groupBy("bucket")
         .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("high"))
@@ -203,8 +359,18 @@ def near_duplicates(
         .join(linked, F.col("doc_id") == F.col("node"), "left")
         .select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     )
-    quiet, turn = 0, 0
-    while quiet < 2:
+    turn = 0
+
+    def united(more: DataFrame) -> DataFrame:
+        """The groups after links of components."""
+        merged = stored(components(more).withColumnRenamed("component", "into"))
+        return stored(
+            groups.join(merged, F.col("component") == F.col("node"), "left").select(
+                "doc_id", F.coalesce("into", "component").alias("component")
+            )
+        )
+
+    while True:
         turn += 1
         at = members.join(groups, "doc_id")
         chosen = F.min_by(
@@ -236,17 +402,10 @@ def near_duplicates(
         more = stored(confirm(tries.select("a", "b"), texts, size, percent))
         tested = tested.unionByName(tries.select("lo", "hi"))
         if more.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
+            groups = united(rest(stored(members.join(groups, "doc_id")), texts, size, percent))
+            break
         # Each of these links joins two components: only those are looked at.
-        joined = tries.join(more, ["a", "b"]).select(F.col("own").alias("a"), F.col("component").alias("b"))
-        merged = stored(components(joined).withColumnRenamed("component", "into"))
-        groups = stored(
-            groups.join(merged, F.col("component") == F.col("node"), "left").select(
-                "doc_id", F.coalesce("into", "component").alias("component")
-            )
-        )
+        groups = united(tries.join(more, ["a", "b"]).select(F.col("own").alias("a"), F.col("component").alias("b")))
     known = stored(
         classes.join(groups, "doc_id", "left").select(
             "set_key", F.coalesce("component", "doc_id").alias("component_id")

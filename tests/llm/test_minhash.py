@@ -63,6 +63,25 @@ def test_same_components_as_all_pairs(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute(docs)
 
 
+def test_every_pair_in_a_template_bucket_is_tested(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4000, raising=False)
+    template = " ".join(f"t{i}" for i in range(100))
+    docs = []
+    for i in range(300):  # all alike by 0.70; of each of 120 pairs, 8 words more
+        tail = [f"p{i // 2 if i < 240 else i}x{k}" for k in range(8)] + [f"u{i}x{k}" for k in range(12)]
+        docs.append((i, f"{template} {' '.join(tail)}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, bands=1, rows=2).collect()}
+    keys = []
+    for c in rolling.chunks(pa.array([t for _, t in docs]), lower=True):
+        keys += minhash.band_keys(minhash.one_permutation(*minhash.shingle_sets(c, 5), 2), 1, 2)[:, 0].tolist()
+    shared = [i for i in range(0, 240, 2) if keys[i] == keys[i + 1]]
+    assert len(shared) >= 15
+    assert [i for i in shared if got[i + 1] != i] == []
+    want = {i: c for i, _, c, _ in brute(docs)}
+    assert all(got[i] in (i, want[i]) for i in want)
+
+
 def test_awkward_rows(awkward, nothing):
     got = rows_of(minhash.near_duplicates(awkward), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted(
