@@ -6,14 +6,15 @@ A candidate is a run of 16 or more characters of a key's alphabet inside a word.
 * character transitions: how often neighbours change class (letter, capital, digit, sign), the
   entropy of its characters, and its mean log probability under bigrams of the corpus;
 * dictionary coverage: the share of it that pieces of a public vocabulary cover;
-* path: whether it lies in a path or URL, and whether the document's path names tests, samples or
+* path: whether it is a path of words or part of a URL, or a password in one, and whether the document's path names tests, samples or
   documentation;
 * neighbouring words: an assignment before it, a key's name or a placeholder's near it, quotes.
 
 The forest (Spark ML) is trained on labelled findings (at most `bound`). Where no labelled
-findings are given, two narrow rules label some candidates: a value assigned in quotes to a
-key's name, or a published key prefix, is a secret; runs of digits alone, of one letter case
-alone, and parts of URLs are none; all else stays unlabelled and is judged by the forest.
+findings are given, narrow rules label some candidates: a published key prefix, a value assigned
+to a key's name in quotes or as name=value, or a password in a URL is a secret; runs of digits
+alone, of one letter case alone, and parts of paths and URLs are none; all else stays unlabelled
+and is judged by the forest. Values under 16 characters or with other signs are no candidates.
 """
 
 from __future__ import annotations
@@ -35,16 +36,22 @@ LEAST = 16
 MASK = "[SECRET]"
 TREES, DEPTH = 24, 6
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# "=" belongs to a value as its padding only; name=value is cut there.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\"'`$-]))?")
 _KEY_NAME = re.compile(r"token|secret|passw|pwd|api_?-?key|apikey|access_?-?key|credential|auth|bearer|private", re.I)
-_PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|redacted", re.I)
+_PLACEHOLDER = re.compile(
+    r"(?<![a-z])(?:(?:examples?|samples?|dummy|placeholder|changeme|tests?|fake|redacted)(?![a-z])|your[_-])|xxxx", re.I
+)
 _PREFIX = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|sk_live_|xox[abp]-|glpat-|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{10,}")
 _LOW_PATH = re.compile(r"test|sample|example|doc|fixture|mock", re.I)
+_PIECE = re.compile(r"(?:[A-Za-z][a-z]*|[A-Z]+|v?\d{1,4})(?:[_-](?:[A-Za-z][a-z]*|[A-Z]+|v?\d{1,4}))*")
+_URL_USER = re.compile(r"://[^/@:]*:$")
 _LETTERS = re.compile(r"[A-Za-z]{4,}")
 
 FEATURES = (
     "length", "digits", "capitals", "hex", "changes", "entropy", "bigrams", "coverage",
     "in_path", "low_path", "assigned", "key_name", "placeholder", "quoted", "prefix",
+    "env", "url_password",
 )
 
 
@@ -84,6 +91,12 @@ def describe(value: str, word: str, at: int, before: list[str], after: list[str]
     close = left[-40:]
     near = " ".join([*before, word, *after])
     assigned = re.search(r"[=:]>?\s*[\"'`]?$", left) is not None
+    key_name = bool(_KEY_NAME.search(close))
+    covered = coverage(value, words)
+    url_password = bool(_URL_USER.search(word[:at])) and word[at + n : at + n + 1] == "@"
+    pieces = [x for x in value.split("/") if x]
+    in_path = len(pieces) > 1 and (covered >= 0.6 or all(_PIECE.fullmatch(x) for x in pieces))
+    in_url = ("://" in word or "@" in word) and not url_password and not (assigned and key_name)
     return [
         float(n),
         kinds.count(2) / n,
@@ -92,24 +105,33 @@ def describe(value: str, word: str, at: int, before: list[str], after: list[str]
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         sum(model[a, b] for a, b in zip(low, low[1:])) / n,
-        coverage(value, words),
-        float("/" in value.strip("/") or "://" in word or "@" in word),
+        covered,
+        float(in_path or in_url),
         float(bool(_LOW_PATH.search(path))),
         float(assigned),
-        float(bool(_KEY_NAME.search(close))),
+        float(key_name),
         float(bool(_PLACEHOLDER.search(near))),
         float(left[-1:] in ("'", '"', "`")),
         float(bool(_PREFIX.match(value))),
+        float(word[at - 1 : at] == "="),
+        float(url_password),
     ]
 
 
 def rule_label(value: str, x: list[float]) -> int | None:
     """1 or 0 where a narrow rule is sure, else None."""
     f = dict(zip(FEATURES, x))
-    if f["placeholder"] or f["in_path"] or value.isdigit() or (value.isalpha() and (value.islower() or value.isupper() or value.istitle())):
+    if _PLACEHOLDER.search(value):
         return 0
-    if f["prefix"] or (f["assigned"] and f["key_name"] and f["quoted"] and f["entropy"] >= 3.0 and 0 < f["digits"] < 1):
+    if f["prefix"]:
         return 1
+    if f["placeholder"]:
+        return 0
+    mixed = f["entropy"] >= 3.0 and 0 < f["digits"] < 1 and not f["in_path"]
+    if mixed and (f["url_password"] or (f["assigned"] and f["key_name"] and (f["quoted"] or f["env"]))):
+        return 1
+    if f["in_path"] or value.isdigit() or (value.isalpha() and (value.islower() or value.isupper() or value.istitle())):
+        return 0
     return None
 
 

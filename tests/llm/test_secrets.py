@@ -75,6 +75,26 @@ def test_features():
     assert secrets.coverage("12thing345", frozenset(["thing"])) == 0.5
 
 
+@pytest.mark.parametrize(
+    "word, before, value, label",
+    [
+        ('"wJalrXUtnF/K7MDENG/bPxRfiCYz9pQ2LkTv4s"', ["secret_key", "="], "wJalrXUtnF/K7MDENG/bPxRfiCYz9pQ2LkTv4s", 1),
+        ("API_KEY=ghp_a8Kd03LmQz71XvBn45TyUi92OpAs67DfGh10", [], "ghp_a8Kd03LmQz71XvBn45TyUi92OpAs67DfGh10", 1),
+        ("AUTH_TOKEN=q8Kd03LmQz71XvBn45Ty==", [], "q8Kd03LmQz71XvBn45Ty==", 1),
+        ("postgres://app:q8Kd03LmQz71XvBn45@db/main", [], "q8Kd03LmQz71XvBn45", 1),
+        ('"q8Kd03LmQz71XvBn45Ty"', ["latest", "token", "="], "q8Kd03LmQz71XvBn45Ty", 1),
+        ('"q8Kd03LmQz71XvBn45Ty"', ["example", "token", "="], "q8Kd03LmQz71XvBn45Ty", 0),
+        ("docs/sample/configuration/file", [], "docs/sample/configuration/file", 0),
+        ("https://x.org/a/very/long/path/index", [], "org/a/very/long/path/index", 0),
+    ],
+)
+def test_rules_on_keys_with_slashes_env_files_and_urls(word, before, value, label):
+    model = __import__("numpy").full((secrets.toxicity.CLASSES,) * 2, -3.0)
+    at = {m.group(): m.start() for m in secrets._RUN.finditer(word)}
+    assert value in at
+    assert secrets.rule_label(value, secrets.describe(value, word, at[value], before, [], "", model, frozenset())) == label
+
+
 def test_awkward_rows(spark, awkward, nothing):
     assert secrets.scan(awkward, PATH, path="source").collect() == []
     assert secrets.scan(nothing, PATH).collect() == []
