@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetgrid.llm import divergence, embeddings, minhash, mixing, packing, quality, secrets, substring, tokencount, toxicity, urls, variants
+from sheetgrid.llm import (
+    compression,
+    divergence,
+    embeddings,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    substring,
+    tokencount,
+    toxicity,
+    urls,
+    variants,
+)
 
 Q: dict = {}
 ORACLES: dict[str, str] = {}
@@ -177,6 +191,12 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM ranked WHERE part = 'pair' OR rank <= 50"""
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "labels").where(~compression.held_out(F.col("doc_id")))
+    scored = compression.score(table(spark, sf_dir, "documents"), seen)
+    return scored.select("doc_id", compression.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(table(spark, sf_dir, "documents"))
 
@@ -228,6 +248,7 @@ QUERIES = {
         op9_toxicity,
         op10_embedding_dedup,
         op11_source_divergence,
+        op12_quality_classifier,
         op13_spelling_variants,
     )
 }
