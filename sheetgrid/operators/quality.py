@@ -253,12 +253,16 @@ def duplicated_columns(
     )
 
 
-def check_schema(df: DataFrame, schema: Schema, by: Sequence[str] = ()) -> DataFrame:
+def check_schema(
+    df: DataFrame, schema: Schema, by: Sequence[str] = (), keys: bool = False
+) -> DataFrame:
     """Violations of a schema, one record each, per group of `by`.
 
     Missing columns, detected types and limits come from one aggregate; unique
-    columns from one grouping by value. `dataset` joins the group's values.
+    columns from one grouping by value. `dataset` joins the group's values; with `keys`
+    they come as columns, too.
     """
+    shown = list(by) if keys else []
     fields = {f.name: f for f in df.schema.fields}
     dataset = F.concat_ws("/", *by) if by else F.lit("")
     missing = [c for c in schema.required_columns if c not in fields]
@@ -329,7 +333,7 @@ def check_schema(df: DataFrame, schema: Schema, by: Sequence[str] = ()) -> DataF
             facts = facts.where(F.col("_rows") > 0)
         parts.append(
             facts.select(
-                dataset.alias("dataset"), F.inline(F.array_compact(F.array(*found)))
+                *shown, dataset.alias("dataset"), F.inline(F.array_compact(F.array(*found)))
             )
         )
     if unique:
@@ -340,6 +344,7 @@ def check_schema(df: DataFrame, schema: Schema, by: Sequence[str] = ()) -> DataF
         )
         parts.append(
             duplicated_columns(df, unique, by).select(
+                *shown,
                 dataset.alias("dataset"),
                 F.col("column_name").alias("column"),
                 F.lit("unique").alias("rule"),
@@ -349,11 +354,13 @@ def check_schema(df: DataFrame, schema: Schema, by: Sequence[str] = ()) -> DataF
             )
         )
     if not parts:
-        return df.sparkSession.createDataFrame(
+        none = df.sparkSession.createDataFrame(
             [],
             "dataset string, column string, rule string, expected string, actual string,"
             " message string",
         )
+        named = [F.lit(None).cast(fields[k].dataType).alias(k) for k in shown]
+        return none.select(*named, *none.columns)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -374,7 +381,9 @@ def validate(
     return found.unionByName(empty_datasets(expected, df, by))
 
 
-def empty_datasets(expected: DataFrame, present: DataFrame, by: Sequence[str]) -> DataFrame:
+def empty_datasets(
+    expected: DataFrame, present: DataFrame, by: Sequence[str], keys: bool = False
+) -> DataFrame:
     """A violation for each data set of `expected` without a record in `present`."""
     dataset = F.concat_ws("/", *by)
     return (
@@ -382,6 +391,7 @@ def empty_datasets(expected: DataFrame, present: DataFrame, by: Sequence[str]) -
         .distinct()
         .join(present.select(*by).distinct(), list(by), "left_anti")
         .select(
+            *(by if keys else ()),
             dataset.alias("dataset"),
             F.lit(None).cast("string").alias("column"),
             F.lit("not_empty").alias("rule"),

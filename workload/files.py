@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetgrid.operators.extract import as_table
-from sheetgrid.plans.pipeline import process_folder
+from sheetgrid.plans.incremental import current, process_changes, read_manifest
+from sheetgrid.plans.pipeline import Options, process_folder
 from sheetgrid.plans.rules import BUILT_IN, QUOTATION, Rule, Schema
 from sheetgrid.sinks.names import clean_name
 from sheetgrid.sinks.parquet import compact, merge_parquet, write_parquet
-from sheetgrid.sinks.tables import table_info, write_table
+from sheetgrid.sinks.tables import committed, table_info, write_table
 from sheetgrid.sources.parquet_files import footer_inventory, parquet_health
 from sheetgrid.streaming.folder import stream_workbooks
 from workload.data import (
@@ -24,6 +25,7 @@ from workload.data import (
     form_grid,
     pack_workbooks,
     scratch,
+    stored,
     table,
     write_files,
 )
@@ -226,15 +228,62 @@ def _extract_names() -> list[str]:
 
 
 def folder_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of a schema that the plain workbooks break, counted per workbook."""
+    """Violations of a schema that the plain workbooks break, per sheet."""
     path = _workbook_folder(spark, sf_dir)
     schema = Schema(("Key", "Phone"), {"Nation": "text"}, {"Key": {"max": 1000}, "Nation": {"unique": True}})
     templates = tuple(replace(t, schema=schema) if t.any_file else t for t in BUILT_IN)
     process_folder(spark, f"{path}/in", f"{path}/out", templates=templates)
-    found = spark.read.parquet(f"{path}/out/violations").where("dataset LIKE '%/generic/table'")
-    return found.select(
-        F.regexp_extract("dataset", "([^/]+)/generic/table$", 1).alias("source_file"), "column", "rule", "actual"
+    found = spark.read.parquet(f"{path}/out/violations").where("template = 'generic'")
+    return found.select(_book_name().alias("source_file"), "sheet_name", "data_type", "column", "rule", "actual")
+
+
+def folder_stream_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder as a stream into catalog tables, a few files per micro-batch, read by the ledger."""
+    path = _workbook_folder(spark, sf_dir)
+    name = _catalog_table()
+    names = {n: f"{name}_{n}" for n in [*_extract_names(), "generic_table"]}
+    stream_workbooks(
+        spark,
+        f"{path}/in",
+        f"{path}/out",
+        f"{path}/checkpoint",
+        Options(output_format="both", database={"names": names}),
+        files_per_batch=20,
+    ).awaitTermination()
+
+    def whole(table_name: str) -> DataFrame:
+        target = names[table_name]
+        return committed(spark.table(target), f"{path}/out/ledger", target)
+
+    cells = _table_cells(whole("generic_table").withColumn("fields", F.from_json("fields", "map<string,string>")))
+    client = whole("quotation_client_info").select(
+        _book_name().alias("source_file"),
+        "sheet_name",
+        F.lit("quotation").alias("template"),
+        F.lit("client_info").alias("data_type"),
+        F.col("field_type").alias("label"),
+        F.col("client_value").alias("value"),
+        "row",
     )
+    return cells.unionByName(client)
+
+
+def folder_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder in two runs: half of the books and an old copy of one first, then the rest and
+    the book as it is now; a third run finds nothing to do."""
+    path = scratch(spark)
+    books = stored(pack_workbooks(customer_blocks(spark, sf_dir)))
+    half = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    changed = F.col("path") == "customers_0.xlsx"
+    old = customer_blocks(spark, sf_dir).where("source_file = 'customers_0.xlsx' AND row % 2 = 0")
+    write_files(books.where(half & ~changed).unionByName(pack_workbooks(old)), f"{path}/in")
+    process_changes(spark, f"{path}/in", f"{path}/out")
+    write_files(books.where(~half | changed), f"{path}/in")
+    process_changes(spark, f"{path}/in", f"{path}/out")
+    if process_changes(spark, f"{path}/in", f"{path}/out") is not None:
+        raise AssertionError("nothing had changed")
+    landed = spark.read.parquet(f"{path}/out/tables")
+    return _table_cells(current(landed, read_manifest(spark, f"{path}/out")))
 
 
 QUERIES = {
@@ -251,6 +300,8 @@ QUERIES = {
     "folder_tables": folder_tables,
     "folder_tables_sink": folder_tables_sink,
     "folder_violations": folder_violations,
+    "folder_stream_tables": folder_stream_tables,
+    "folder_incremental": folder_incremental,
 }
 
 _quotes = f"WITH {form_cells_sql(QUOTATION_FORM)}\n"
@@ -320,12 +371,18 @@ ORACLES = {
       c_name AS "name", cast(c_nationkey AS varchar) AS nation FROM customer""",
     "folder_violations": """
     WITH b AS (SELECT 'customers_' || cast(c_custkey // 500 AS varchar) || '.xlsx' AS source_file,
-                 c_custkey, c_nationkey FROM customer),
-    n AS (SELECT source_file, max(k) AS k FROM (SELECT source_file, count(*) AS k FROM b
-            GROUP BY source_file, c_nationkey) GROUP BY source_file)
-    SELECT DISTINCT source_file, 'Phone' AS "column", 'required' AS rule, cast(NULL AS varchar) AS actual FROM b
-    UNION ALL SELECT DISTINCT source_file, 'Nation', 'type', 'numeric' FROM b
-    UNION ALL SELECT source_file, 'Key', 'max', cast(cast(max(c_custkey) AS double) AS varchar) FROM b
-      GROUP BY source_file HAVING max(c_custkey) > 1000
-    UNION ALL SELECT source_file, 'Nation', 'unique', cast(k AS varchar) || ' copies' FROM n WHERE k > 1""",
+                 c_mktsegment AS sheet_name, 'table' AS data_type, c_custkey, c_nationkey FROM customer),
+    s AS (SELECT source_file, sheet_name, data_type, max(c_custkey) AS k FROM b GROUP BY ALL),
+    n AS (SELECT source_file, sheet_name, data_type, max(k) AS k FROM (SELECT source_file, sheet_name, data_type, count(*) AS k
+            FROM b GROUP BY source_file, sheet_name, data_type, c_nationkey) GROUP BY ALL)
+    SELECT * EXCLUDE k, 'Phone' AS "column", 'required' AS rule, cast(NULL AS varchar) AS actual FROM s
+    UNION ALL SELECT * EXCLUDE k, 'Nation', 'type', 'numeric' FROM s
+    UNION ALL SELECT * EXCLUDE k, 'Key', 'max', cast(cast(k AS double) AS varchar) FROM s WHERE k > 1000
+    UNION ALL SELECT * EXCLUDE k, 'Nation', 'unique', cast(k AS varchar) || ' copies' FROM n WHERE k > 1""",
+    "folder_stream_tables": _quotes
+    + f"""SELECT * FROM ({_customer_cells}) UNION ALL BY NAME
+    SELECT {_book} AS source_file, 'Hoja ' || cast(cast({_number} AS bigint) % 500 AS varchar) AS sheet_name,
+      'quotation' AS template, 'client_info' AS data_type, label, value, "row"
+    FROM ({records(_client)})""",
+    "folder_incremental": _customer_cells,
 }

@@ -272,6 +272,7 @@ _profile_types = {
         "ts": None,
         "user_id": "bigint",
         "event_type": "string",
+        "value": "double",
         "props": "string",
     },
 }
