@@ -25,16 +25,32 @@ def ids_of(text):
     return np.array([*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
 
 
-def test_remembered_pieces_give_the_same_ids(monkeypatch):
-    monkeypatch.setattr(packing, "_CACHE_ENTRIES", 6)
+def fragments(rng, tokens):
+    out = b""
+    for token in rng.choices(tokens, k=40):
+        at = rng.randrange(len(token))
+        out += token[at : at + rng.randrange(1, 9)] if rng.random() < 0.5 else token
+    return out.decode("utf-8", "ignore")
+
+
+def test_ranks_give_the_same_ids():
     rng = random.Random(1)
-    texts = [t or "" for t in ODD] + ["".join(rng.choice("ab é\n\t .'1") for _ in range(200)) for _ in range(50)]
     encoder = packing.Encoder(PATH)
-    for _ in range(3):
-        for size in (1, 7, 100):
-            for at in range(0, len(texts), size):
-                part = texts[at : at + size]
-                assert [e for e in encoder.encode(part)] == [ids_of(t)[:-1].tobytes() for t in part]
+    tokens = list(encoder.fast._mergeable_ranks)
+    texts = [t or "" for t in ODD] + ["".join(rng.choice("ab é\n\t .'1") for _ in range(200)) for _ in range(50)]
+    texts += [fragments(rng, tokens) for _ in range(2000)]
+    texts += [" " * 300_000, "x" + "\n \t" * 100_000 + "y", "z" * 50_000, "x " * 6_000]
+    texts += ["".join(chr(c) for c in rng.sample(range(0xD800), 300)) for _ in range(100)]
+    assert encoder.encode(texts) == [ids_of(t)[:-1].tobytes() for t in texts]
+    assert [encoder._taken(t) for t in ("a b", "a<|endoftext|>", " " * 9_999, "a" + " " * 10_000)] == [True, False, True, False]
+
+
+def test_other_vocabularies_go_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.fast is None
+    texts = ["Some Words, and more", "", "é 12"]
+    assert encoder.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def check(got, docs, window=1024):
