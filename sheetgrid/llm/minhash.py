@@ -9,7 +9,7 @@
   probability (1 - 0.75**4)**32, about 5e-6.
 * Candidates are stars: in a bucket each member is compared with one centre only, so
   a bucket of m classes gives m - 1 pairs. Buckets whose members are not all connected
-  afterwards get other centres, round by round, until a round adds no link.
+  afterwards get another centre, once. Sets too unequal in size to be linked make no pair.
 * What is still open then is compared exactly: in each bucket every member outside the largest
   component with all members, in salted blocks. So each pair that shares a bucket is tested or
   already connected. Where the buckets would take more comparisons than all pairs of their members,
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetgrid.llm import rolling
-from sheetgrid.llm.common import components, plain, stored
+from sheetgrid.llm.common import components, forget, plain, stored
 from sheetgrid.llm.embeddings import Forest
 
 WORDS = 5
@@ -37,6 +37,7 @@ PERCENT = 75
 BANDS = 32
 ROWS = 4
 PER_SALT = 256
+STAR_ROUNDS = 2
 BLOCK = 1 << 19  # shingles
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -250,6 +251,11 @@ def _across(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
 
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be linked: the smaller is the most that they can share."""
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
 def rest(at: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of components whose members share a bucket: all of them. `at` has bucket, doc_id,
     n_shingles and component; a bucket of two is taken as compared."""
@@ -338,20 +344,30 @@ def near_duplicates(
     inside = classes.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     centres = stored(
         inside.groupBy("bucket")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("high"))
-        .where("a < high")
-        .select("bucket", "a")
+        .agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.max("doc_id").alias("high"))
+        .where("c.doc_id < high")
+        .select("bucket", F.col("c.doc_id").alias("a"), F.col("c.n_shingles").alias("a_shingles"))
     )
     members = stored(inside.join(centres.select("bucket"), "bucket"))
-    met = members.select("doc_id").distinct().join(classes.select("doc_id", "text_hash"), "doc_id")
+    # Of texts that share a doc_id the one of the smallest hash stands for it. Texts move once: joined by
+    # doc_id alone, which the removal of repeated rows is content with.
+    met = (
+        members.select("doc_id")
+        .distinct()
+        .join(classes.groupBy("doc_id").agg(F.min("text_hash").alias("held")), "doc_id")
+    )
     texts = stored(
-        source.join(met, ["doc_id", "text_hash"]).select("doc_id", "text").dropDuplicates(["doc_id"])
+        source.join(met, "doc_id").where("text_hash ^ held = 0").select("doc_id", "text").dropDuplicates(["doc_id"])
     )
     pairs = stored(
-        members.join(centres, "bucket").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+        members.join(centres, "bucket")
+        .where("a <> doc_id")
+        .where(may_link("a_shingles", "n_shingles", percent))
+        .select("a", F.col("doc_id").alias("b"))
+        .distinct()
     )
+    forget(centres)
     links = stored(confirm(pairs, texts, size, percent))
-    tested = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     linked = stored(components(links))
     groups = stored(
         members.select("doc_id")
@@ -359,22 +375,27 @@ def near_duplicates(
         .join(linked, F.col("doc_id") == F.col("node"), "left")
         .select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     )
-    turn = 0
+    forget(links)
+    forget(linked)
+    tested = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
 
-    def united(more: DataFrame) -> DataFrame:
+    def united(groups: DataFrame, more: DataFrame) -> DataFrame:
         """The groups after links of components."""
         merged = stored(components(more).withColumnRenamed("component", "into"))
-        return stored(
+        after = stored(
             groups.join(merged, F.col("component") == F.col("node"), "left").select(
                 "doc_id", F.coalesce("into", "component").alias("component")
             )
         )
+        forget(merged)
+        forget(groups)
+        return after
 
-    while True:
-        turn += 1
+    whole = False
+    for turn in range(1, STAR_ROUNDS):
         at = members.join(groups, "doc_id")
         chosen = F.min_by(
-            F.struct(F.col("doc_id").alias("a"), F.col("component").alias("own")),
+            F.struct(F.col("doc_id").alias("a"), F.col("n_shingles").alias("a_shingles"), F.col("component").alias("own")),
             F.xxhash64("doc_id", "bucket", F.lit(turn)),
         )
         open_ = stored(
@@ -383,11 +404,13 @@ def near_duplicates(
             .where("low < high")
             .select("bucket", "c.*")
         )
-        if open_.isEmpty():
+        whole = open_.isEmpty()
+        if whole:
             break
         tries = stored(
             at.join(open_, "bucket")
             .where("component <> own")
+            .where(may_link("a_shingles", "n_shingles", percent))
             .select(
                 "a",
                 F.col("doc_id").alias("b"),
@@ -400,12 +423,17 @@ def near_duplicates(
             .join(tested, ["lo", "hi"], "left_anti")
         )
         more = stored(confirm(tries.select("a", "b"), texts, size, percent))
-        tested = tested.unionByName(tries.select("lo", "hi"))
-        if more.isEmpty():
-            groups = united(rest(stored(members.join(groups, "doc_id")), texts, size, percent))
-            break
         # Each of these links joins two components: only those are looked at.
-        groups = united(tries.join(more, ["a", "b"]).select(F.col("own").alias("a"), F.col("component").alias("b")))
+        groups = united(groups, tries.join(more, ["a", "b"]).select(F.col("own").alias("a"), F.col("component").alias("b")))
+        for table in (open_, tries, more):
+            forget(table)
+    forget(pairs)
+    if not whole:
+        at = stored(members.join(groups, "doc_id"))
+        groups = united(groups, rest(at, texts, size, percent))
+        forget(at)
+    forget(members)
+    forget(texts)
     known = stored(
         classes.join(groups, "doc_id", "left").select(
             "set_key", F.coalesce("component", "doc_id").alias("component_id")
