@@ -4,9 +4,11 @@
   it has a fixed number of cells.
 * Words that could be disguised are found by array operations over whole texts: a sign or digit
   among letters (leetspeak), a letter three times in a row, or single letters in a row
-  (spacing, with or without dots and dashes between). Each gives a lattice of
-  characters; Viterbi decoding under the language model keeps its best few readings.
-* Words of the restored text give features: the word and its beginnings of 4 to 8 bytes. Their
+  (spacing, with or without dots and dashes between or standing free). Each gives a lattice of
+  characters, repeats collapsed; Viterbi decoding under the language model keeps its best few
+  readings, of long lattices in stretches that overlap by more than a word.
+* Words of the restored text give features: the word and its beginnings of 4 to 8 bytes. Where words
+  were run together by spelling or gluing, each letter of a reading may begin a word. Their
   weights are log odds over labelled documents, counted by families of near copies. A logistic
   regression on what a text hits gives the score.
 
@@ -41,7 +43,10 @@ LEET = {
 }
 _SUBSTITUTED = math.log(0.2)
 _DROPPED = math.log(0.3)
-_LONG = 64
+#: Places of a lattice decoded together, and how many of them the next stretch has, too.
+_STRETCH, _OVERLAP = 64, 24
+#: A word that begins inside a reading counts from so many bytes.
+_INNER = 5
 
 # Character classes of the language model: boundary, a-z, letters U+00E0-U+00FF, other letters.
 CLASSES = 1 + 26 + 32 + 1
@@ -118,8 +123,22 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def decode(token: str, model: np.ndarray, readings: int = READINGS) -> list[str]:
     """The best readings of a disguised word (lower case), best first: Viterbi over its lattice,
     keeping `readings` paths per last character."""
+    return _decode_places(lattice(token.lower()), model, readings)
+
+
+def decode_long(token: str, model: np.ndarray, readings: int = READINGS) -> list[tuple[int, str]]:
+    """(rank, reading) of a word or run of any length: of its overlapping stretches, if it is long."""
+    places, found, at = lattice(token.lower()), [], 0
+    while True:
+        found += enumerate(_decode_places(places[at : at + _STRETCH], model, readings))
+        if at + _STRETCH >= len(places):
+            return found
+        at += _STRETCH - _OVERLAP
+
+
+def _decode_places(places: list, model: np.ndarray, readings: int) -> list[str]:
     paths: dict[str, list[tuple[float, str]]] = {"": [(0.0, "")]}
-    for choices in lattice(token.lower()):
+    for choices in places:
         grown: dict[str, list[tuple[float, str]]] = {}
         for last, own in paths.items():
             for text, weight in choices:
@@ -164,25 +183,34 @@ def _disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, c: rollin
         hit[2:] |= (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:] & (data[2:] < 0x80)
         mark[1:] = np.cumsum(hit)
     long = ends - starts
-    mixed = np.flatnonzero((mark[ends] - mark[np.minimum(starts + 1, ends)] > 0) & (long > 2) & (long <= _LONG))
+    mixed = np.flatnonzero((mark[ends] - mark[np.minimum(starts + 1, ends)] > 0) & (long > 2))
     single = (long == 1) & _CORE[data[np.minimum(starts, max(n - 1, 0))]] if n else long == 1
     runs = []
     if single.any():
         text = c.row_of_word()
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
+        spelled = single | (long == 0)  # signs that stand free between letters belong to the run
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], spelled.astype(np.int8), [0]])))
         for a, b in zip(edge[::2], edge[1::2]):
             for part in np.split(np.arange(a, b), np.flatnonzero(np.diff(text[a:b])) + 1):
-                if len(part) >= 3:
-                    runs += [(part[k], part[min(k + _LONG, len(part)) - 1]) for k in range(0, len(part), _LONG)]
+                letters = part[single[part]]
+                if len(letters) >= 3:
+                    runs.append((letters[0], letters[-1]))
     return mixed, runs
 
 
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    """(words, 6) feature hashes of whole restored words; as `_features` for words in place."""
+def _hash_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, which): feature hashes of restored words, and of what begins at each letter inside them;
+    as `_features` for words in place. The shortest beginnings count at a word's own start only."""
     data = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = ends - [len(w) for w in words]
-    return _features(data, starts, ends)
+    size = np.array([len(w) for w in words])
+    ends = np.cumsum(size + 1) - 1
+    which = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(which)) + which  # one space after each word
+    inner = (ends[which] - place >= _INNER) & (place > (ends - size)[which]) & ((data[place] & 0xC0) != 0x80)
+    place, owner = place[inner], which[inner]
+    inside = _features(data, place, ends[owner])
+    inside[:, 1 : 1 + sum(n < _INNER for n in PREFIXES)] = 0
+    return np.concatenate([_features(data, ends - size, ends), inside]), np.concatenate([np.arange(len(words)), owner])
 
 
 def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -201,7 +229,7 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-_decoded: dict[str, list[str]] = {}
+_decoded: dict[str, list[tuple[int, str]]] = {}
 
 
 class Restored:
@@ -223,9 +251,9 @@ class Restored:
             if token not in _decoded:
                 if len(_decoded) > 200_000:
                     _decoded.clear()
-                _decoded[token] = decode(token, model)
+                _decoded[token] = decode_long(token, model)
             gone += range(first, last + 1)
-            for k, reading in enumerate(_decoded[token]):
+            for k, reading in _decoded[token]:
                 if reading:
                     words.append(reading.encode())
                     rows.append(text[first])
@@ -233,9 +261,10 @@ class Restored:
         if gone:
             self.hashes[gone] = 0
         if words:
-            self.hashes = np.concatenate([self.hashes, _hash_words(words)])
-            self.row = np.concatenate([self.row, rows])
-            self.reading = np.concatenate([self.reading, np.array(ranks, dtype=np.int8)])
+            hashes, which = _hash_words(words)
+            self.hashes = np.concatenate([self.hashes, hashes])
+            self.row = np.concatenate([self.row, np.array(rows)[which]])
+            self.reading = np.concatenate([self.reading, np.array(ranks, dtype=np.int8)[which]])
 
 
 def _training(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -248,10 +277,11 @@ def _training(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[
         for c in rolling.chunks(batch.column("text")):
             found = Restored(c, model)
             best = found.reading == 0
-            row = np.repeat(found.row[best], found.hashes.shape[1])
-            flat = found.hashes[best].reshape(-1)
+            order = np.argsort(found.row[best], kind="stable")
+            hashes, row = found.hashes[best][order], found.row[best][order]
+            bounds = np.searchsorted(row, np.arange(c.last - c.first + 1))
             for i in range(c.last - c.first):
-                own = np.unique(flat[row == i]) if i in row else flat[:0]
+                own = np.unique(hashes[bounds[i] : bounds[i + 1]])
                 own = own[own != 0]
                 words = c.words[c.bounds[i] : c.bounds[i + 1]]
                 family = int(words.min()) >> 1 if len(words) else 0

@@ -1,7 +1,10 @@
 """Toxicity: decoding, held-out accuracy on planted texts with and without disguise, labels untouched by scores."""
 
+import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sheetgrid.llm import toxicity
@@ -49,6 +52,38 @@ def test_decoding(spark):
     assert model.shape == (toxicity.CLASSES,) * 2
 
 
+FORMS = [
+    "stupid", "5tup1d", "s t u p i d", "stuuuupid", "st" + "u" * 70 + "pid", "what a s t u p i d man",
+    "s t u p i d m o r o n", "m o r o n s t u p i d", "s - t - u - p - i - d", "-".join("abcdefghijklm" * 6 + "stupid"),
+    "x" * 10 + "qu" * 40 + "s.t.u.p.1.d", " ".join("notable" * 8 + "stupid" + "notable" * 8), " ".join("ab" * 31 + "stupid" + "ab" * 31),
+    "S.T.U.P.I.D", "glued" * 20 + "5tup1d" + "word" * 9,
+]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_disguises_are_restored(form):
+    model = np.log(np.full((toxicity.CLASSES,) * 2, 1 / toxicity.CLASSES))
+    word = np.frombuffer(b"stupid stupidity", dtype=np.uint8)
+    whole, beginning = toxicity._features(word, np.array([0, 7]), np.array([6, 16]))
+    (chunk,) = toxicity.rolling.chunks(pa.array([f"some words before {form} and after"]))
+    found = set(toxicity.Restored(chunk, model).hashes.reshape(-1).tolist())
+    assert whole[0] in found or beginning[1 + toxicity.PREFIXES.index(6)] in found
+
+
+def test_decoding_equals_all_paths():
+    rng = np.random.default_rng(2)
+    model = np.log(rng.dirichlet(np.ones(toxicity.CLASSES), toxicity.CLASSES))
+
+    def weight(path):
+        text = "".join(t for t, _ in path)
+        kinds = [0, *(toxicity.char_class(c) for c in text), 0]
+        return sum(w for _, w in path) + sum(model[a, b] for a, b in zip(kinds, kinds[1:])), text
+
+    for token in ("1d10t", "m0r0n", "$tup1d", "aaab1b", "a.b-c1", "0*1", "|1|1|", "éé1ö"):
+        best = max(weight(path) for path in itertools.product(*toxicity.lattice(token)))
+        assert toxicity.decode(token, model)[0] == best[1]
+
+
 def test_held_out_accuracy_behind_disguise(spark):
     seen, unseen = corpus(1, 400, False), corpus(2, 400, True)
     docs = spark.createDataFrame([d[:2] for d in seen + unseen], "doc_id long, text string")
