@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from sheetgrid.llm.common import boxed, plain, stored
 
 BOUND = 20_000
 LEAST = 16
+#: Bytes of a neighbouring word that describe a candidate: those nearest to it.
+NEAR = 256
 MASK = "[SECRET]"
 TREES, DEPTH = 24, 6
 
@@ -55,6 +58,7 @@ FEATURES = (
 )
 
 
+@cache
 def vocabulary(path: str) -> frozenset[str]:
     """Words of four letters or more in a public tokenizer's vocabulary (its bounded size bounds this)."""
     from tokenizers import Tokenizer
@@ -150,14 +154,17 @@ def _scan(batches: Iterator[pa.RecordBatch], model: np.ndarray, vocabulary_path:
                 for m in _RUN.finditer(word.decode("latin-1")):  # byte positions; runs are ASCII
                     if text is None:
                         first, last = c.bounds[row], c.bounds[row + 1]
-                        near = [
-                            c.data[c.starts[k] : c.ends[k]].tobytes().decode("utf-8", "replace")[:LEAST * 4]
-                            for k in range(max(first, i - 3), min(last, i + 3))
-                        ]
-                        mid = i - max(first, i - 3)
+                        # Of very long neighbours, what lies nearest.
+                        before, after = (
+                            [c.data[c.starts[k] : c.ends[k]][part].tobytes().decode("utf-8", "ignore") for k in some]
+                            for some, part in (
+                                (range(max(first, i - 3), i), slice(-NEAR, None)),
+                                (range(i + 1, min(last, i + 3)), slice(0, NEAR)),
+                            )
+                        )
                         text = word.decode("latin-1")
                     value = m.group()
-                    x = describe(value, text, m.start(), near[:mid], near[mid + 1 :], paths[c.first + row] or "", model, words)
+                    x = describe(value, text, m.start(), before, after, paths[c.first + row] or "", model, words)
                     begin = int(c.starts[i]) + m.start()
                     zero = inner[c.offsets[row]]
                     rows["row"].append(c.first + row)

@@ -1,6 +1,7 @@
 """Secret scans: positions, features, and held-out accuracy of the forest on planted findings."""
 
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -99,3 +100,26 @@ def test_awkward_rows(spark, awkward, nothing):
     assert secrets.scan(awkward, PATH, path="source").collect() == []
     assert secrets.scan(nothing, PATH).collect() == []
     assert rows_of(secrets.redact(awkward, secrets.scan(awkward, PATH)), *awkward.columns) == rows_of(awkward, *awkward.columns)
+
+
+def test_candidates_equal_a_plain_scan(spark):
+    rng = random.Random(4)
+    letters = "abcXYZ019+/=_-.,:\"' \n\té日"
+    rows = [(i, "".join(rng.choice(letters if rng.random() < 0.5 else "aB3") for _ in range(rng.randrange(300)))) for i in range(200)]
+    rows += [(900, None), (901, ""), (902, "k" * 5000 + " " + "Q7" * 40)]
+    got = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    want = []
+    for i, text in rows:
+        for word in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+            for m in secrets._RUN.finditer(word.group()):
+                begin = word.start() + m.start()
+                want.append((i, begin, begin + len(m.group()), m.group()))
+    assert rows_of(got, "doc_id", "begin", "end", "value") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("glue", ["", "w" * 10, "y" * 81, "z" * 3000])
+def test_a_key_name_at_the_end_of_a_long_word(spark, glue):
+    text = f'say {glue}"api_key": "q8KdZ0vP3mXt7RbY1cLw5HsN"'
+    (row,) = secrets.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).where("value LIKE 'q8Kd%'").collect()
+    x = dict(zip(secrets.FEATURES, row["x"]))
+    assert (row["label"], x["key_name"], x["assigned"], x["quoted"]) == (1, 1, 1, 1)
