@@ -5,14 +5,16 @@ after that works on short records.
 
 * A document's vector: log of the mean word length, and square roots of symbols per word
   character, repeated lines per word and repeated words per word, in whole thousandths.
-* Per (language, source), and once over all, the minimum covariance determinant is sought: from
-  coordinate medians, a concentration step takes the half with the smallest Mahalanobis
-  distances and estimates mean and covariance from it, a fixed number of times. Equal
-  vectors are one weighted record. The half is found by counting distances in fixed bins, and
-  sums are of whole numbers, so reruns agree whatever the partitions.
-* A group's estimate is averaged with that over all, which counts as `PRIOR` documents: a small
-  group has no covariance of its own. Each statistic has a least spread, since
-  most documents have no symbol and no repeat at all.
+* Per (language, source), and once over all, the minimum covariance determinant is sought: of all
+  halves of a group, the one whose covariance has the least determinant. From each of several
+  starts, concentration steps take the half with the smallest Mahalanobis distances and estimate
+  mean and covariance from it. After two steps a group's `KEEP` best starts go on until the
+  determinant no longer falls; the one that ends with the least counts. Equal vectors are one weighted record. The half is found by counting distances
+  in fixed bins, and sums are of whole numbers, so reruns agree whatever the partitions.
+* A group of fewer than `LEAST` documents, five for each statistic, has no estimate of its own and takes
+  the one over all. A larger group's is averaged with that over all, which counts as `PRIOR`
+  documents. Each statistic has a least spread, in determinants too, since most documents have
+  no symbol and no repeat at all.
 * Rejected: a squared distance above `CUTOFF`. Fewer symbols or repeats than the group's
   centre is no fault: such a deviation counts as zero.
 """
@@ -22,14 +24,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetgrid.llm.common import plain, stored
+from sheetgrid.llm.common import forget, plain, stored
 
 SYMBOLS = "[#*$%&|<>]"
 DIMS = ("z1", "z2", "z3", "z4")
 #: Least standard deviation of each statistic, in thousandths.
 FLOORS = (120, 50, 50, 100)
-STEPS = 5
+#: At most so many concentration steps; far fewer are needed.
+STEPS = 20
 PRIOR = 50
+#: Documents that a group needs for an estimate of its own.
+LEAST = 20
+#: Starts at a vector picked by hash, beside the four others, and how many starts go on after two steps.
+DRAWS = 12
+KEEP = 3
+#: Keys that a group is dealt over where its vectors meet its parameters.
+PARTS = 16
 #: Six standard deviations along one statistic; the 0.9999997 quantile of chi-square with four
 #: degrees of freedom.
 CUTOFF = 36.0
@@ -174,56 +184,160 @@ def distance(one_sided: bool) -> Column:
     return total
 
 
-def _concentrate(cells: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each group's nearer half.
+def _sums(values: DataFrame, *keys: str) -> DataFrame:
+    """Weight, sums and sums of products per key, exact."""
+    n = range(len(DIMS))
+    exact = lambda x: F.sum((x * F.col("w")).cast("decimal(28,0)"))
+    return values.groupBy(*keys).agg(
+        F.sum("w").alias("w"),
+        *[exact(F.col(z)).alias(f"s{i}") for i, z in enumerate(DIMS)],
+        *[exact(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i in n for j in range(i + 1)],
+    )
+
+
+def _moments(sums: DataFrame, scale: float) -> DataFrame:
+    """m0.. and c00.. (times `scale`) from the sums, beside the columns g and start."""
+    n = range(len(DIMS))
+    mean = lambda i: F.col(f"s{i}").cast("double") / F.col("w")
+    return sums.select(
+        "g",
+        "start",
+        *[mean(i).alias(f"m{i}") for i in n],
+        *[
+            (scale * (F.col(f"q{i}{j}").cast("double") / F.col("w") - mean(i) * mean(j))).alias(f"c{i}{j}")
+            for i in n
+            for j in range(i + 1)
+        ],
+    )
 
-    Sums are taken per (group, distance bin), so a hot group merges map-side; the bins up
-    to the half are then added up.
+
+def _met(cells: DataFrame, params: DataFrame) -> DataFrame:
+    """Each vector with its group's parameters; a group is `PARTS` keys, so none is one task's."""
+    return cells.join(params.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["g", "part"])
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    """(g, start, m0.., c00..): first estimates of each group.
+
+    0: coordinate medians and median absolute deviations; 1: the medians, no spread but the least
+    ones; 2: mean and covariance of all; 3: the medians, covariance of the directions from there,
+    as large in sum as the variances of 0; 4 and up: a vector picked by hash, the deviations of 0.
     """
     n = range(len(DIMS))
-    exact = lambda x: F.sum((x * F.col("w")).cast("decimal(28,0)"))
-    sums = ["w", *[f"s{i}" for i in n], *[f"q{i}{j}" for i in n for j in range(i + 1)]]
-    by = Window.partitionBy("g")
-    bins = (
-        cells.join(_cholesky(params), "g")
-        .groupBy("g", F.floor(64 * F.log1p(distance(False))).cast("long").alias("bin"))
+    pairs = [(i, j) for i in n for j in range(i + 1)]
+    medians = stored(_medians(cells))
+    zeros = [F.lit(0.0).alias(f"c{i}{j}") for i, j in pairs]
+    centre = [f"m{i}" for i in n]
+    away = [F.col(z) - F.col(f"m{i}") for i, z in enumerate(DIMS)]
+    length2 = sum((x * x for x in away[1:]), away[0] * away[0])
+    turned = (
+        _met(cells, medians)
+        .groupBy("g")
         .agg(
             F.sum("w").alias("w"),
-            *[exact(F.col(z)).alias(f"s{i}") for i, z in enumerate(DIMS)],
-            *[exact(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i in n for j in range(i + 1)],
+            *[
+                F.sum((F.coalesce(F.try_divide(away[i] * away[j], length2), F.lit(0.0)) * 1_000_000 * F.col("w")).cast("decimal(28,0)")).alias(f"t{i}{j}")
+                for i, j in pairs
+            ],
         )
+        .join(medians, "g")
+    )
+    size = sum((F.col(f"c{i}{i}") for i in n[1:]), F.col("c00"))
+    first = lambda k: F.min(F.struct(F.xxhash64(*DIMS, F.lit(k)).alias("h"), *DIMS))
+    picked = (
+        cells.groupBy("g")
+        .agg(F.array(*[first(k) for k in range(DRAWS)]).alias("picks"))
+        .select("g", F.posexplode("picks").alias("k", "z"))
+        .join(medians.drop(*centre), "g")
+        .select(
+            "g",
+            (F.col("k") + 4).alias("start"),
+            *[F.col(f"z.{z}").cast("double").alias(f"m{i}") for i, z in enumerate(DIMS)],
+            *[f"c{i}{j}" for i, j in pairs],
+        )
+    )
+    directions = [(F.col(f"t{i}{j}").cast("double") / 1_000_000 / F.col("w") * size).alias(f"c{i}{j}") for i, j in pairs]
+    return (
+        medians.select("g", F.lit(0).alias("start"), *centre, *[f"c{i}{j}" for i, j in pairs])
+        .unionByName(medians.select("g", F.lit(1).alias("start"), *centre, *zeros))
+        .unionByName(_moments(_sums(cells, "g").withColumn("start", F.lit(2)), 1.0))
+        .unionByName(turned.select("g", F.lit(3).alias("start"), *centre, *directions))
+        .unionByName(picked)
+    )
+
+
+def _concentrate(cells: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step: mean, covariance and log determinant of each start's nearer half.
+
+    Sums are taken per (group, start, distance bin), so a hot group merges map-side; the bins up
+    to the half are then added up, of the last one the share that makes the half exact.
+    """
+    by = Window.partitionBy("g", "start")
+    ranked = _met(cells, _cholesky(params)).withColumn("bin", F.floor(64 * F.log1p(distance(False))).cast("long"))
+    bins = (
+        _sums(ranked, "g", "start", "bin")
         .withColumn("before", F.sum("w").over(by.orderBy("bin")) - F.col("w"))
         .withColumn("all", F.sum("w").over(by))
+        .withColumn("half", F.least("all", F.floor((F.col("all") + len(DIMS) + 1) / 2)))
+        .where("before < half")
+        .withColumn("share", F.least(F.lit(1.0), (F.col("half") - F.col("before")) / F.col("w")))
     )
-    near = (
-        bins.where(f"2 * before < all + {len(DIMS) + 1}")
-        .groupBy("g")
-        .agg(*[F.sum(c).cast("double").alias(c) for c in sums])
+    # Whole bins are summed as they are, and the last one's share is added, so the order of sums is fixed.
+    names = ["w", *[c for c in bins.columns if c[0] in "sq" and c[1:].isdigit()]]
+    inner = F.col("share") == 1.0
+    near = bins.groupBy("g", "start").agg(
+        *[
+            (
+                F.coalesce(F.sum(F.when(inner, F.col(c))).cast("double"), F.lit(0.0))
+                + F.coalesce(F.max(F.when(~inner, F.col(c).cast("double") * F.col("share"))), F.lit(0.0))
+            ).alias(c)
+            for c in names
+        ]
     )
-    mean = lambda i: F.col(f"s{i}") / F.col("w")
-    return stored(
-        near.select(
-            "g",
-            *[mean(i).alias(f"m{i}") for i in n],
-            *[
-                (CONSISTENCY * (F.col(f"q{i}{j}") / F.col("w") - mean(i) * mean(j))).alias(f"c{i}{j}")
-                for i in n
-                for j in range(i + 1)
-            ],
-        )
+    found = _cholesky(_moments(near, CONSISTENCY))
+    spread = sum((F.log(f"l{i}{i}") for i in range(1, len(DIMS))), F.log("l00"))
+    return found.withColumn("logdet", 2 * spread).drop(*[c for c in found.columns if c[0] == "l"])
+
+
+def concentrated(cells: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(g, m0.., c00.., logdet): of each group's starts, the half with the least determinant.
+
+    A start is stepped until its determinant no longer falls (at most `steps` times).
+    """
+    params = stored(
+        _starts(cells).withColumns({"logdet": F.lit(float("inf")), "moving": F.lit(True)})
     )
+    values = [c for c in params.columns if c not in ("g", "start", "moving")]
+    best = Window.partitionBy("g").orderBy("logdet", "start")
+    for turn in range(steps):
+        step = _concentrate(cells, params.where("moving"))
+        after = step.select("g", "start", F.struct(*values).alias("new"))
+        better = F.coalesce(F.col("new.logdet") < F.col("logdet") - 1e-6, F.lit(False))
+        was = params
+        after = (
+            was.join(after, ["g", "start"], "left")
+            .withColumn("moving", better)
+            .select("g", "start", *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in values], "moving")
+        )
+        if turn == 1:
+            after = after.withColumn("moving", F.col("moving") & (F.row_number().over(best) <= KEEP))
+        params = stored(after)
+        forget(was)
+        if not params.where("moving").head(1):
+            break
+    least = F.min(F.struct("logdet", "start", *[c for c in values if c != "logdet"])).alias("x")
+    return stored(params.groupBy("g").agg(least).select("g", "x.*").drop("start"))
 
 
 def estimates(cells: DataFrame, steps: int = STEPS, prior: int = PRIOR) -> DataFrame:
-    """(g, m0.., l00..) from weighted vectors (g, z1.., w); group '' holds all documents."""
-    params = stored(_medians(cells))
-    for _ in range(steps):
-        params = _concentrate(cells, params)
+    """(g, m0.., l00..) from weighted vectors (g, part, z1.., w); group '' holds all documents."""
+    params = concentrated(cells, steps).drop("logdet")
     names = [c for c in params.columns if c != "g"]
     sizes = cells.groupBy("g").agg(F.sum("w").alias("w"))
     overall = params.where("g = ''").first()  # one record of numbers, or none without documents
     whole = lambda c: F.lit(overall[c] if overall else None).cast("double")
-    blend = lambda c: (F.col(c) * F.col("w") + whole(c) * prior) / (F.col("w") + prior)
+    large = F.col("w") >= LEAST
+    blend = lambda c: F.when(large, (F.col(c) * F.col("w") + whole(c) * prior) / (F.col("w") + prior)).otherwise(whole(c))
     own = params.where("g <> ''").join(sizes, "g").select("g", *[blend(c).alias(c) for c in names])
     return stored(_cholesky(own))
 
@@ -254,7 +368,8 @@ def judge(documents: DataFrame) -> DataFrame:
     )
     own = read.where("NOT base_failed").groupBy("g", *DIMS).agg(F.count("*").alias("w"))
     total = own.groupBy(*DIMS).agg(F.sum("w").alias("w")).select(F.lit("").alias("g"), *DIMS, "w")
-    cells = stored(own.unionByName(total))
+    part = F.pmod(F.xxhash64(*DIMS), F.lit(PARTS)).cast("int")
+    cells = stored(own.unionByName(total).withColumn("part", part))
     params = estimates(cells)
     far = distance(True)
     return (
