@@ -3,12 +3,14 @@
 `extract` writes every keyword into its plan, which is right for the dozens that a few templates
 have. Here rules are rows, and the plan is the same for any number of them:
 
-* Equal cell texts are one value, so a word that a third of all cells hold is looked at once.
 * A keyword is found through one of its character runs (`GRAM` characters; all of it, if
-  shorter): the one that the fewest values hold. Values and keywords that share this run are
+  shorter): one that few keywords, or few values, have. Texts and keywords that share this run are
   compared with `contains`, so nothing is missed and nothing else is compared.
-* Matches go back to the cells by value. A common value is one row there per rule it
-  answers to; the side of the cells is split by Spark where one value makes it uneven.
+* Up to `NARROW` keywords, counted first, their index goes to every task: cells are looked up where they
+  lie, and only label cells move.
+* Beyond that the index stays a table. Equal cell texts are then one value, so a word that a third of
+  all cells hold is looked at once, and matches go back to the cells by value; where one value makes
+  the cells uneven, Spark splits them.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from sheetgrid.operators.extract import REACH, _self_and_near
 from sheetgrid.plans.rules import NEAR, SELF, Template
 
 GRAM = 4
+#: Keywords whose index is sent to every task, some 10 MB.
+NARROW = 100_000
 
 #: One row per rule and keyword; the other columns repeat for the rule's keywords.
 RULES_SCHEMA = (
@@ -48,6 +52,21 @@ def _runs(text: Column, length: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, length)))
 
 
+def _index(words: DataFrame, gram: int) -> tuple[DataFrame, Column]:
+    """(keyword, run) for all runs of keywords, and the runs of `value` of the lengths in use."""
+    length = F.least(F.length("keyword"), F.lit(gram))
+    used = sorted(r[0] for r in words.select(length.alias("n")).distinct().collect())  # `gram` at most
+    none = F.array().cast("array<string>")
+    own = [F.coalesce(_runs(F.col("value"), F.lit(n)), none) for n in used]
+    return words.select("keyword", F.explode(_runs(F.col("keyword"), length)).alias("run")), F.flatten(F.array(none, *own))
+
+
+def _rarest(index: DataFrame, often: DataFrame) -> DataFrame:
+    """(keyword, run): of each keyword's runs one with the least n in `often`; none without any."""
+    least = F.min(F.struct("n", "run")).alias("x")
+    return index.join(often, "run").groupBy("keyword").agg(least).select("keyword", F.col("x.run").alias("run"))
+
+
 def match_values(values: DataFrame, keywords: DataFrame, gram: int = GRAM) -> DataFrame:
     """(value, keyword): each distinct value with each keyword it contains, compared as is.
 
@@ -55,26 +74,14 @@ def match_values(values: DataFrame, keywords: DataFrame, gram: int = GRAM) -> Da
     nothing. Every value gives its runs of `gram` characters, and shorter ones only of lengths
     that some keyword has.
     """
-    words = keywords.where("keyword <> ''").select("keyword").distinct()
-    length = F.least(F.length("keyword"), F.lit(gram))
-    index = words.select("keyword", F.explode(_runs(F.col("keyword"), length)).alias("run"))
-    # At most `gram` lengths are in use.
-    used = sorted(r[0] for r in words.select(length.alias("n")).distinct().collect())
-    if not used:
-        return values.select("value", F.lit(None).cast("string").alias("keyword")).where("false")
-    own = F.flatten(F.array(*[F.coalesce(_runs(F.col("value"), F.lit(n)), F.array().cast("array<string>")) for n in used]))
+    index, own = _index(keywords.where("keyword <> ''").select("keyword").distinct(), gram)
     held = values.where("value <> ''").select("value").distinct().select("value", F.explode(own).alias("run"))
     held = held.join(index.select("run").distinct(), "run", "left_semi")
     often = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    rarest = index.join(often, "run").groupBy("keyword").agg(F.min(F.struct("n", "run")).alias("x"))
-    return (
-        held.join(rarest.select("keyword", F.col("x.run").alias("run")), "run")
-        .where(F.col("value").contains(F.col("keyword")))
-        .select("value", "keyword")
-    )
+    return held.join(_rarest(index, often), "run").where(F.col("value").contains(F.col("keyword"))).select("value", "keyword")
 
 
-def extract_by_table(grid: DataFrame, rules: DataFrame, gram: int = GRAM) -> DataFrame:
+def extract_by_table(grid: DataFrame, rules: DataFrame, gram: int = GRAM, narrow: int = NARROW) -> DataFrame:
     """Records of SELF and NEAR rules given as a table (`RULES_SCHEMA`), as `extract` gives them.
 
     Keywords are compared in upper case; a cell answers to a rule once, however many of its
@@ -82,6 +89,7 @@ def extract_by_table(grid: DataFrame, rules: DataFrame, gram: int = GRAM) -> Dat
     excluded ones only, finds nothing. Rules of other shapes are an error.
 
     In a grid that carries each row's `template`, a rule sees the rows of its own template only.
+    A sheet has one record per row, as the data model says.
     """
     wrong = [r[0] for r in rules.where(~F.col("shape").isin(SELF, NEAR)).select("shape").distinct().head(3)]
     if wrong:
@@ -95,27 +103,36 @@ def extract_by_table(grid: DataFrame, rules: DataFrame, gram: int = GRAM) -> Dat
         .where(cell["cell_type"] == STRING)
         .withColumn("value", computed_once(F.upper(cell["value"])))
     )
-    words = rules.select("rule", F.upper("keyword").alias("keyword"), "excluded")
-    matched = (
-        match_values(cells.select("value"), words, gram)
-        .join(words, "keyword")
-        .groupBy("value", "rule")
-        .agg(F.bool_or("excluded").alias("_out"))
-        .where("NOT _out")
-        .drop("_out")
-    )
+    words = rules.select("rule", F.upper("keyword").alias("keyword"), "excluded").where("keyword <> ''")
     constants = rules.where("NOT excluded").groupBy("rule").agg(
         *[F.first(c).alias(f"_{c}") for c in ("template", "data_type", "shape", "label", "max_row")]
     )
-    hits = cells.select(
-        *SHEET_KEYS,
-        *(["_owner"] if owned else []),
-        "row",
-        "value",
-        cell["col"].alias("col"),
-        "_cell",
-        F.slice("cells", first, F.col("_pos") + 2 + REACH - first).alias("_reach"),
-    ).join(matched.join(constants, "rule"), "value")
+    reach = F.slice("cells", first, F.col("_pos") + 2 + REACH - first).alias("_reach")
+    kept = [*SHEET_KEYS, *(["_owner"] if owned else []), "row", cell["col"].alias("col"), "_cell", reach]
+    if words.count() <= narrow:
+        index, own = _index(words.select("keyword").distinct(), gram)
+        often = index.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+        entries = _rarest(index, often).join(words, "keyword")
+        named = [*SHEET_KEYS, *(["_owner"] if owned else []), "row", "col", "rule"]
+        hits = (
+            cells.withColumn("run", F.explode(own))
+            .join(F.broadcast(entries), "run")
+            .where(F.col("value").contains(F.col("keyword")))
+            .select(*kept, "rule", "excluded")
+            .groupBy(*named)
+            .agg(F.bool_or("excluded").alias("_out"), *[F.first(c).alias(c) for c in ("_cell", "_reach")])
+            .where("NOT _out")
+            .join(constants, "rule")
+        )
+    else:
+        matched = (
+            match_values(cells.select("value"), words, gram)
+            .join(words, "keyword")
+            .groupBy("value", "rule")
+            .agg(F.bool_or("excluded").alias("_out"))
+            .where("NOT _out")
+        )
+        hits = cells.select(*kept, "value").join(matched.join(constants, "rule"), "value")
     seen = F.col("_max_row").isNull() | (F.col("row") < F.col("_max_row"))
     if owned:
         seen = seen & (F.col("_owner") == F.col("_template"))
@@ -123,5 +140,4 @@ def extract_by_table(grid: DataFrame, rules: DataFrame, gram: int = GRAM) -> Dat
         hits.where(seen)
         .withColumn("label", F.coalesce("_label", cell["value"]))
         .withColumnsRenamed({"_template": "template", "_data_type": "data_type"})
-        .drop("value")
     )

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from sheetgrid.operators.extract import RECORD, extract
-from sheetgrid.operators.keywords import RULES_SCHEMA, extract_by_table, match_values, rules_table
+from sheetgrid.operators.keywords import NARROW, RULES_SCHEMA, extract_by_table, match_values, rules_table
 from sheetgrid.plans.rules import BELOW, BUILT_IN, NEAR, SELF, Rule, Template
 
 
@@ -49,9 +49,10 @@ def test_table_equals_plan(spark, grid):
     )
     templates = [template, *[Template(t.name, rules=tuple(r for r in t.rules if r.shape in (SELF, NEAR))) for t in BUILT_IN if t.rules]]
     assert len(rows(extract(cells, templates).records)) > 500
-    assert rows(extract_by_table(cells, rules_table(spark, templates))) == rows(extract(cells, templates).records)
     owned = cells.selectExpr("*", "if(source_file < 'f2', 't', 'sdm') AS template")
-    assert rows(extract_by_table(owned, rules_table(spark, templates))) == rows(extract(owned, templates).records)
+    for narrow in (NARROW, 0):
+        assert rows(extract_by_table(cells, rules_table(spark, templates), narrow=narrow)) == rows(extract(cells, templates).records)
+        assert rows(extract_by_table(owned, rules_table(spark, templates), narrow=narrow)) == rows(extract(owned, templates).records)
 
 
 def test_plan_does_not_grow_with_rules(spark, grid):
