@@ -115,10 +115,10 @@ def extract_by_table(grid: DataFrame, rules: DataFrame, gram: int = GRAM, narrow
         entries = _rarest(index, often).join(words, "keyword")
         named = [*SHEET_KEYS, *(["_owner"] if owned else []), "row", "col", "rule"]
         hits = (
-            cells.withColumn("run", F.explode(own))
+            cells.select(*kept, "value")  # before the runs, so that no row's cells are copied per run
+            .withColumn("run", F.explode(own))
             .join(F.broadcast(entries), "run")
             .where(F.col("value").contains(F.col("keyword")))
-            .select(*kept, "rule", "excluded")
             .groupBy(*named)
             .agg(F.bool_or("excluded").alias("_out"), *[F.first(c).alias(c) for c in ("_cell", "_reach")])
             .where("NOT _out")
