@@ -6,8 +6,8 @@ have. Here rules are rows, and the plan is the same for any number of them:
 * A keyword is found through one of its character runs (`GRAM` characters; all of it, if
   shorter): one that few keywords, or few values, have. Texts and keywords that share this run are
   compared with `contains`, so nothing is missed and nothing else is compared.
-* Up to `NARROW` keywords, counted first, their index goes to every task: cells are looked up where they
-  lie, and only label cells move.
+* Up to `NARROW` keywords, counted first, their index goes to every task, with each rule's other
+  keywords: cells are judged where they lie, and nothing of the grid is shuffled.
 * Beyond that the index stays a table. Equal cell texts are then one value, so a word that a third of
   all cells hold is looked at once, and matches go back to the cells by value; where one value makes
   the cells uneven, Spark splits them.
@@ -26,7 +26,7 @@ from sheetgrid.operators.extract import REACH, _self_and_near
 from sheetgrid.plans.rules import NEAR, SELF, Template
 
 GRAM = 4
-#: Keywords whose index is sent to every task, some 10 MB.
+#: Keywords whose index is sent to every task, some 10 MB; a rule of n keywords has n entries of n.
 NARROW = 100_000
 
 #: One row per rule and keyword; the other columns repeat for the rule's keywords.
@@ -109,20 +109,28 @@ def extract_by_table(grid: DataFrame, rules: DataFrame, gram: int = GRAM, narrow
     )
     reach = F.slice("cells", first, F.col("_pos") + 2 + REACH - first).alias("_reach")
     kept = [*SHEET_KEYS, *(["_owner"] if owned else []), "row", cell["col"].alias("col"), "_cell", reach]
-    if words.count() <= narrow:
-        index, own = _index(words.select("keyword").distinct(), gram)
+    size = F.count_if(~F.col("excluded")) * F.count(F.lit(1))
+    if (words.groupBy("rule").agg(size.alias("n")).agg(F.sum("n")).first()[0] or 0) <= narrow:
+        of_rule = words.groupBy("rule").agg(
+            F.array_sort(F.collect_set(F.when(~F.col("excluded"), F.col("keyword")))).alias("_yes"),
+            F.collect_set(F.when(F.col("excluded"), F.col("keyword"))).alias("_no"),
+        )
+        index, own = _index(words.where("NOT excluded").select("keyword").distinct(), gram)
         often = index.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-        entries = _rarest(index, often).join(words, "keyword")
-        named = [*SHEET_KEYS, *(["_owner"] if owned else []), "row", "col", "rule"]
+        entries = (
+            _rarest(index, often)
+            .join(of_rule.join(constants, "rule").withColumn("keyword", F.explode("_yes")), "keyword")
+            .drop("rule")
+        )
+        # Of the keywords that a cell holds, the first one stands for the rule.
+        held = lambda k: F.col("value").contains(k)
         hits = (
             cells.select(*kept, "value")  # before the runs, so that no row's cells are copied per run
             .withColumn("run", F.explode(own))
             .join(F.broadcast(entries), "run")
-            .where(F.col("value").contains(F.col("keyword")))
-            .groupBy(*named)
-            .agg(F.bool_or("excluded").alias("_out"), *[F.first(c).alias(c) for c in ("_cell", "_reach")])
-            .where("NOT _out")
-            .join(constants, "rule")
+            .where(held(F.col("keyword")))
+            .where((F.get(F.filter("_yes", held), F.lit(0)) == F.col("keyword")) & ~F.exists("_no", held))
+            .drop("run", "keyword", "_yes", "_no")
         )
     else:
         matched = (
