@@ -88,3 +88,75 @@ def test_cells_are_unpacked_below_labels_only(spark, tmp_path):
     assert "_from" in lines[0] and "col" in lines[0]
     unpack = next(line for line in text.splitlines() if "Generate" in line and "_spots" in line)
     assert text.index(lines[0]) < text.index(unpack) < text.index(lines[1])
+
+
+def rows_scanned(df):
+    """Rows that the scans of a DataFrame hand on, after skipped files, row groups and pages."""
+    seen = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = seen.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def clustered(spark, tmp_path):
+    """Three of ten rows are of one sheet, the others of 200 files; parsed in no order."""
+    from sheetgrid.sinks.parquet import write_clustered
+
+    grid = spark.range(60_000).repartition(8).select(
+        F.when(F.col("id") % 10 < 3, "hot.xlsx").otherwise(F.format_string("f%03d.xlsx", F.col("id") % 200)).alias("source_file"),
+        F.lit("S").alias("sheet_name"),
+        F.col("id").alias("row"),
+        F.expr("array(named_struct('col', 0, 'cell_type', 'string', 'value', cast(id AS string)))").alias("cells"),
+    )
+    grid.write.parquet(str(tmp_path / "as_parsed"))
+    stored = spark.read.parquet(str(tmp_path / "as_parsed"))
+    write_clustered(stored, str(tmp_path / "clustered"), ["source_file", "sheet_name", "row"], ["source_file"], 1_000)
+    return stored, spark.read.parquet(str(tmp_path / "clustered"))
+
+
+def test_a_range_of_one_file_reads_its_row_groups(spark, tmp_path):
+    before, after = clustered(spark, tmp_path)
+    assert after.count() == before.count() == 60_000
+    for file, low, high in (("f007.xlsx", 0, 60_000), ("hot.xlsx", 30_000, 31_000)):
+        found = []
+        for grid in (before, after):
+            part = slice_range(grid.where(F.col("source_file") == file), low, high)
+            found.append((sorted(r["row"] for r in part.select("row").collect()), rows_scanned(part)))
+        assert found[0][0] == found[1][0] and found[0][0]
+        assert found[1][1] <= len(found[1][0]) + 2 * 1_000 < found[0][1]  # its own groups and two that it shares
+
+
+def test_a_hot_sheet_is_cut_into_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few rows would be one file
+    try:
+        _, after = clustered(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = after.where("source_file = 'hot.xlsx'").select("_metadata.file_path").distinct().count()
+    assert files >= 2
+
+
+def test_clustered_bronze_reads_the_same(spark, tmp_path):
+    from sheetgrid.sources.workbooks import cluster_parsed, open_parsed, parse_workbooks, write_parsed
+    from workload.data import pack_workbooks
+
+    plain, ordered = str(tmp_path / "plain"), str(tmp_path / "ordered")
+    write_parsed(parse_workbooks(pack_workbooks(form_grid(spark, SF, FORMS["quotation"]))), plain)
+    cluster_parsed(spark, plain, ordered, row_group_size=100)
+    kinds = [[sorted(str(r.asDict(True)) for r in df.collect()) for df in open_parsed(spark, p)] for p in (plain, ordered)]
+    assert kinds[0] == kinds[1] and all(kinds[0])
+    one = open_parsed(spark, ordered).grid.where("template = 'quotation'")
+    name = one.first()["source_file"]
+    part = one.where(F.col("source_file") == name)
+    assert rows_scanned(part) <= part.count() + 200 < one.count()
+
+
+def test_first_cells_are_cut_before_they_move(spark, tmp_path):
+    from sheetgrid.operators.quality import detect_cell_types, first_cells
+
+    grid = bronze(spark, tmp_path)
+    for df in (first_cells(grid, 100), detect_cell_types(grid, 100)):
+        text = plan(df)
+        assert text.count("Exchange hashpartitioning") == 1
+        below = text[text.index("Exchange hashpartitioning"):]
+        assert "WindowGroupLimit" in below and "Partial" in below

@@ -231,3 +231,21 @@ def test_a_template_is_data(spark):
     mine = Template("mine", path_keywords=("zz",))
     assert routes(spark, [("ZZ.xlsx", "s")], templates=[mine]) == {"ZZ.xlsx": "mine"}
     assert [r.data_type for r in only(SDM, ["dates"]).rules] == ["dates"]
+
+
+def test_cell_types_of_the_first_cells(spark, grid):
+    from sheetgrid.operators.quality import detect_cell_types, first_cells
+
+    rows = {i: ["1" if i < 7 else "x", "a" if i == 5 else None, " ", True] for i in range(9)}
+    rows[2] = ["2024-01-05", None, None, None]
+    sheets = grid({("f", "S"): rows, ("f", "T"): {0: ["x"], 4: ["2"]}})
+    types = lambda n: {(r.sheet_name, r.col): r.detected_type for r in detect_cell_types(sheets, n).collect()}
+    assert types(2) == {("S", 0): "numeric", ("S", 1): "string", ("S", 2): "string", ("S", 3): "boolean", ("T", 0): "string"}
+    assert types(3)["S", 0] == "string"  # the date is the third cell
+    assert types(1)["T", 0] == "string" and types(1000) == types(None)
+    # The rows of the first two cells of each column, empty ones not counted.
+    got = sorted((r.sheet_name, r.col, r.row) for r in first_cells(sheets, 2).collect())
+    assert got == [
+        ("S", 0, 0), ("S", 0, 1), ("S", 1, 5), ("S", 2, 0), ("S", 2, 1), ("S", 3, 0), ("S", 3, 1), ("T", 0, 0), ("T", 0, 4),
+    ]
+    assert first_cells(sheets.where("false"), 2).count() == 0

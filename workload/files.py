@@ -237,6 +237,35 @@ def folder_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_book_name().alias("source_file"), "sheet_name", "data_type", "column", "rule", "actual")
 
 
+def folder_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder into tables of which one can't be written: the audit says which, the others land."""
+    path = _workbook_folder(spark, sf_dir)
+    name = _catalog_table()
+    names = {n: f"{name}_{n}" for n in [*_extract_names(), "generic_table"]}
+    write_table(table(spark, sf_dir, "region"), names["quotation_client_info"], path=scratch(spark))
+    runs = process_folder(spark, f"{path}/in", f"{path}/out", "both", {"names": names, "if_exists": "fail"})
+    landed = [
+        spark.table(target).groupBy("source_file").agg(F.count(F.lit(1)).alias("landed")).withColumn("_table", F.lit(n))
+        for n, target in names.items()
+        if n != "quotation_client_info"
+    ]
+    counts = reduce(DataFrame.unionByName, landed)
+    own = F.when(F.col("template") == "generic", "generic_table").otherwise(F.concat_ws("_", "template", "data_type"))
+    return (
+        runs.withColumn("_table", own)
+        .join(counts, ["source_file", "_table"], "left")
+        .select(
+            _book_name().alias("source_file"),
+            "template",
+            "data_type",
+            "n_rows",
+            F.coalesce("landed", F.lit(0)).alias("landed"),
+            "status",
+            F.col("error").isNotNull().alias("told"),
+        )
+    )
+
+
 def folder_stream_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folder as a stream into catalog tables, a few files per micro-batch, read by the ledger."""
     path = _workbook_folder(spark, sf_dir)
@@ -302,6 +331,7 @@ QUERIES = {
     "folder_violations": folder_violations,
     "folder_stream_tables": folder_stream_tables,
     "folder_incremental": folder_incremental,
+    "folder_outcomes": folder_outcomes,
 }
 
 _quotes = f"WITH {form_cells_sql(QUOTATION_FORM)}\n"
@@ -385,4 +415,13 @@ ORACLES = {
       'quotation' AS template, 'client_info' AS data_type, label, value, "row"
     FROM ({records(_client)})""",
     "folder_incremental": _customer_cells,
+    "folder_outcomes": _quotes
+    + f""", q AS ({_quote_union})
+    SELECT source_file, template, data_type, count(*) AS n_rows,
+      cast(CASE WHEN data_type = 'client_info' THEN 0 ELSE count(*) END AS bigint) AS landed,
+      CASE WHEN data_type = 'client_info' THEN 'not_written' ELSE 'ok' END AS status, data_type = 'client_info' AS told
+    FROM q GROUP BY source_file, template, data_type
+    UNION ALL
+    SELECT 'customers_' || cast(c_custkey // 500 AS varchar) || '.xlsx', 'generic', 'table', count(*), count(*), 'ok', false
+    FROM customer GROUP BY c_custkey // 500""",
 }

@@ -18,7 +18,7 @@ from sheetgrid.operators.quality import (
 from sheetgrid.operators.tables import merge_by_name
 from sheetgrid.plans.rules import Schema
 from sheetgrid.sinks.names import prepare_for_db
-from sheetgrid.sources.views import grid_to_cells
+from sheetgrid.sources.views import grid_to_cells, table_to_grid
 from workload.data import (
     DOCUMENT_CELLS,
     SALES_FORM,
@@ -73,6 +73,23 @@ def detect_cell_types_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_cell_types(form_grid(spark, sf_dir, SALES_FORM))
 
 
+def detect_cell_types_first100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types from the first 100 cells of every column, of events as a sheet per kind.
+
+    Numbers turn to text late in the sheet, and a column is empty at first.
+    """
+    events = table(spark, sf_dir, "events").select(
+        "event_type",
+        "event_id",
+        "user_id",
+        F.when(F.col("event_id") < 450, F.col("user_id").cast("string")).otherwise(F.col("props")).alias("late"),
+        F.when(F.col("event_id") > 500, F.date_format("ts", "yyyy-MM-dd")).alias("from"),
+        F.when(F.col("event_id") % 90 == 0, F.col("props")).otherwise(F.col("user_id").cast("string")).alias("mixed"),
+    )
+    grid = table_to_grid(events, F.lit("events.xlsx"), "event_type", "event_id", ["user_id", "late", "from", "mixed"])
+    return detect_cell_types(grid, sample=100)
+
+
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = profile(table(spark, sf_dir, "orders"))
     events = profile(table(spark, sf_dir, "events"))
@@ -310,6 +327,7 @@ QUERIES = {
     "detect_types_native": detect_types_native,
     "detect_types_first100": detect_types_first100,
     "detect_cell_types": detect_cell_types_forms,
+    "detect_cell_types_first100": detect_cell_types_first100,
     "profile_columns": profile_columns,
     "profile_lineitem": profile_lineitem,
     "constraint_minmax": constraint_minmax,
@@ -357,6 +375,15 @@ ORACLES = {
              AND try_cast(value AS timestamp) IS NOT NULL)) THEN 'datetime'
            ELSE 'string' END AS detected_type
     FROM g GROUP BY source_file, sheet_name, col""",
+    "detect_cell_types_first100": f"""
+    WITH c AS (SELECT event_type, event_id, unnest([0, 1, 2, 3]) AS col, unnest([cast(user_id AS varchar),
+        CASE WHEN event_id < 450 THEN cast(user_id AS varchar) ELSE props END,
+        CASE WHEN event_id > 500 THEN strftime(ts, '%Y-%m-%d') END,
+        CASE WHEN event_id % 90 = 0 THEN props ELSE cast(user_id AS varchar) END]) AS value FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY event_type, col ORDER BY event_id) AS nth FROM c
+      WHERE value IS NOT NULL AND value <> '')
+    SELECT 'events.xlsx' AS source_file, event_type AS sheet_name, cast(col AS integer) AS col,
+      {_type_sql('value')} AS detected_type FROM k WHERE nth <= 100 GROUP BY event_type, col""",
     "profile_columns": "\nUNION ALL ".join(
         _profile_sql(t, c, d) for t, columns in _profile_types.items() for c, d in columns.items()
     ),
