@@ -102,3 +102,14 @@ def test_jdbc_options(spark):
         assert table_info(spark, "t", "jdbc:x:y").first().row_count == 2
     with pytest.raises(ValueError):
         write_table(spark.range(1), "t", "sqlite:///x.db")
+
+
+def test_an_empty_batch_leaves_a_table_of_others_alone(spark):
+    from sheetgrid.sinks.tables import write_batch
+
+    df = spark.createDataFrame([(1, "x")], "id int, name string")
+    write_table(df, "t_no_batches", if_exists="fail")
+    write_batch(df.where("false"), "t_no_batches", "1")
+    assert [tuple(r) for r in spark.table("t_no_batches").collect()] == [(1, "x")]
+    with pytest.raises(ValueError, match="not written in batches"):
+        write_batch(df, "t_no_batches", "1")
