@@ -21,6 +21,8 @@ after that works on short records.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,13 +197,12 @@ def _sums(values: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _moments(sums: DataFrame, scale: float) -> DataFrame:
-    """m0.. and c00.. (times `scale`) from the sums, beside the columns g and start."""
+def _moments(sums: DataFrame, scale: float, *keys: str) -> DataFrame:
+    """m0.. and c00.. (times `scale`) from the sums, beside the columns `keys`."""
     n = range(len(DIMS))
     mean = lambda i: F.col(f"s{i}").cast("double") / F.col("w")
     return sums.select(
-        "g",
-        "start",
+        *keys,
         *[mean(i).alias(f"m{i}") for i in n],
         *[
             (scale * (F.col(f"q{i}{j}").cast("double") / F.col("w") - mean(i) * mean(j))).alias(f"c{i}{j}")
@@ -260,22 +261,23 @@ def _starts(cells: DataFrame) -> DataFrame:
     return (
         medians.select("g", F.lit(0).alias("start"), *centre, *[f"c{i}{j}" for i, j in pairs])
         .unionByName(medians.select("g", F.lit(1).alias("start"), *centre, *zeros))
-        .unionByName(_moments(_sums(cells, "g").withColumn("start", F.lit(2)), 1.0))
+        .unionByName(_moments(_sums(cells, "g").withColumn("start", F.lit(2)), 1.0, "g", "start"))
         .unionByName(turned.select("g", F.lit(3).alias("start"), *centre, *directions))
         .unionByName(picked)
     )
 
 
 def _concentrate(cells: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: mean, covariance and log determinant of each start's nearer half.
+    """One concentration step: mean, covariance, its factor and log determinant of each start's nearer
+    half; `was` is the log determinant before.
 
     Sums are taken per (group, start, distance bin), so a hot group merges map-side; the bins up
     to the half are then added up, of the last one the share that makes the half exact.
     """
     by = Window.partitionBy("g", "start")
-    ranked = _met(cells, _cholesky(params)).withColumn("bin", F.floor(64 * F.log1p(distance(False))).cast("long"))
+    met = _met(cells, params.withColumnRenamed("logdet", "was"))
     bins = (
-        _sums(ranked, "g", "start", "bin")
+        _sums(met.withColumn("bin", F.floor(64 * F.log1p(distance(False))).cast("long")), "g", "start", "was", "bin")
         .withColumn("before", F.sum("w").over(by.orderBy("bin")) - F.col("w"))
         .withColumn("all", F.sum("w").over(by))
         .withColumn("half", F.least("all", F.floor((F.col("all") + len(DIMS) + 1) / 2)))
@@ -285,7 +287,7 @@ def _concentrate(cells: DataFrame, params: DataFrame) -> DataFrame:
     # Whole bins are summed as they are, and the last one's share is added, so the order of sums is fixed.
     names = ["w", *[c for c in bins.columns if c[0] in "sq" and c[1:].isdigit()]]
     inner = F.col("share") == 1.0
-    near = bins.groupBy("g", "start").agg(
+    near = bins.groupBy("g", "start", "was").agg(
         *[
             (
                 F.coalesce(F.sum(F.when(inner, F.col(c))).cast("double"), F.lit(0.0))
@@ -294,39 +296,39 @@ def _concentrate(cells: DataFrame, params: DataFrame) -> DataFrame:
             for c in names
         ]
     )
-    found = _cholesky(_moments(near, CONSISTENCY))
+    found = _cholesky(_moments(near, CONSISTENCY, "g", "start", "was"))
     spread = sum((F.log(f"l{i}{i}") for i in range(1, len(DIMS))), F.log("l00"))
-    return found.withColumn("logdet", 2 * spread).drop(*[c for c in found.columns if c[0] == "l"])
+    return found.withColumn("logdet", 2 * spread)
 
 
 def concentrated(cells: DataFrame, steps: int = STEPS) -> DataFrame:
     """(g, m0.., c00.., logdet): of each group's starts, the half with the least determinant.
 
-    A start is stepped until its determinant no longer falls (at most `steps` times).
+    A start is stepped until its determinant no longer falls (at most `steps` times). A step is
+    one query that reads what fell in the step before, without a join with earlier ones.
     """
-    params = stored(
-        _starts(cells).withColumns({"logdet": F.lit(float("inf")), "moving": F.lit(True)})
-    )
-    values = [c for c in params.columns if c not in ("g", "start", "moving")]
-    best = Window.partitionBy("g").orderBy("logdet", "start")
+    params = stored(_cholesky(_starts(cells)).withColumn("logdet", F.lit(float("inf"))))
+    columns = params.columns
+    fallen = [params]
     for turn in range(steps):
-        step = _concentrate(cells, params.where("moving"))
-        after = step.select("g", "start", F.struct(*values).alias("new"))
-        better = F.coalesce(F.col("new.logdet") < F.col("logdet") - 1e-6, F.lit(False))
-        was = params
-        after = (
-            was.join(after, ["g", "start"], "left")
-            .withColumn("moving", better)
-            .select("g", "start", *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in values], "moving")
-        )
-        if turn == 1:
-            after = after.withColumn("moving", F.col("moving") & (F.row_number().over(best) <= KEEP))
-        params = stored(after)
-        forget(was)
-        if not params.where("moving").head(1):
+        moving = fallen[-1]
+        if turn == 2:
+            # The starts that are best so far, if they still move; others stay at what they found.
+            by = Window.partitionBy("g").orderBy("logdet", "start")
+            found = [df.select("g", "start", "logdet", F.lit(k).alias("turn")) for k, df in enumerate(fallen)]
+            last = reduce(DataFrame.unionByName, found).groupBy("g", "start").agg(F.min(F.struct("logdet", "turn")).alias("x"))
+            best = last.select("g", "start", "x.*").withColumn("nth", F.row_number().over(by))
+            ahead = best.where((F.col("nth") <= KEEP) & (F.col("turn") == turn)).select("g", "start")
+            moving = stored(moving.join(ahead, ["g", "start"], "left_semi"))
+        # Cut when it is read: below the aggregation the test would repeat the whole factor.
+        fallen.append(stored(_concentrate(cells, moving)).where("logdet < was - 1e-6").select(*columns))
+        if fallen[-1].isEmpty():
             break
-    least = F.min(F.struct("logdet", "start", *[c for c in values if c != "logdet"])).alias("x")
-    return stored(params.groupBy("g").agg(least).select("g", "x.*").drop("start"))
+    least = F.min(F.struct("logdet", "start", *[c for c in columns if c[0] in "mc"])).alias("x")
+    done = stored(reduce(DataFrame.unionByName, fallen).groupBy("g").agg(least).select("g", "x.*").drop("start"))
+    for table in fallen:
+        forget(table)
+    return done
 
 
 def estimates(cells: DataFrame, steps: int = STEPS, prior: int = PRIOR) -> DataFrame:
