@@ -113,3 +113,17 @@ def test_an_empty_batch_leaves_a_table_of_others_alone(spark):
     assert [tuple(r) for r in spark.table("t_no_batches").collect()] == [(1, "x")]
     with pytest.raises(ValueError, match="not written in batches"):
         write_batch(df, "t_no_batches", "1")
+
+
+def test_a_batch_costs_few_jobs_whatever_the_columns(spark, tmp_path):
+    from sheetgrid.sinks.tables import write_batch
+
+    df = spark.range(3).selectExpr("id AS a", *[f"'x' AS c{i}" for i in range(12)])
+    write_batch(df, "batch_jobs", "0", path=str(tmp_path / "jobs"))
+    spark.sparkContext.setJobGroup("batch_jobs", "")
+    try:
+        write_batch(df, "batch_jobs", "1")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("batch_jobs")) <= 2
+    assert spark.table("batch_jobs").count() == 6
